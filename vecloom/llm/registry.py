@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from vecloom.session import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.substring import substring_dedup
+
+    kept = substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.bpe import token_counts
 
@@ -22,7 +29,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op9_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
