@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.warc import dedup_archive
+
+    return dedup_archive(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.bpe import encode_decode
 
@@ -29,7 +35,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op9_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op5_warc, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
