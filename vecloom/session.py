@@ -33,5 +33,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def testdata(sf: str = "sf0.01") -> str:
+def sample_dir(sf: str = "sf0.01") -> str:
     return os.path.join(os.environ.get("TESTDATA_DIR", "/root/testdata"), sf)
