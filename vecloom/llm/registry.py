@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.warc import dedup_archive
 
@@ -35,7 +41,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op5_warc, op9_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op4_quality, op5_warc, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
