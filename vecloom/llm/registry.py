@@ -33,6 +33,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_archive(table(spark, sf_dir, "pages"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.katz import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.bpe import encode_decode
 
@@ -41,7 +47,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op4_quality, op5_warc, op9_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op4_quality, op5_warc, op7_lm_score, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
