@@ -39,6 +39,12 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.bpe import encode_decode
 
@@ -47,7 +53,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op4_quality, op5_warc, op7_lm_score, op9_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op4_quality, op5_warc, op7_lm_score, op8_ann, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
