@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.quality import quality_scores
 
@@ -53,7 +59,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op4_quality, op5_warc, op7_lm_score, op8_ann, op9_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_quality, op5_warc, op7_lm_score, op8_ann, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
