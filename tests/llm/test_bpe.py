@@ -53,3 +53,25 @@ def test_queries(spark):
 
     out = registry.op9_bpe(spark, "/root/testdata/sf0.001").limit(3).collect()
     assert len(out[0].ids_sha256) == 64 and hashlib.sha256(b"").hexdigest() != out[0].ids_sha256
+
+
+def test_character_classes_agree_where_the_fast_path_is_taken(library):
+    words = bpe.vocabulary(bpe.vocabulary_path())
+    for c in [*range(0x540), *range(0x3000, 0xA000), *range(0xAC00, 0xD7A4)]:
+        text = words._normal.normalize_str(f"a{chr(c)}! {chr(c)}{chr(c)}b'{chr(c)} 1{chr(c)}")
+        if not bpe._OTHER.search(text):
+            assert words._find(text) == [text[a:b] for _, (a, b) in words._cut.pre_tokenize_str(text)], hex(c)
+    for c in range(128):
+        assert chr(c).lower() == words._normal.normalize_str(chr(c)) or chr(c).isspace()
+
+
+def test_random_unicode_matches_the_library(library):
+    import random
+
+    words, rng = bpe.vocabulary(bpe.vocabulary_path()), random.Random(3)
+    pools = [range(32, 127), range(0xA0, 0x250), range(0x370, 0x540), range(0x540, 0x2000), range(0x2000, 0x3100), range(0x1F300, 0x1FA00), range(0x300, 0x370), [9, 10, 13, 32, 0x85, 0xA0, 0x3000]]
+    for _ in range(1500):
+        text = "".join(chr(rng.choice(rng.choice(pools[: rng.randrange(1, 9)]))) for _ in range(rng.randrange(60)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert words.encode(text)[1] == " ".join(map(str, ids)), ascii(text)
+        assert words.count(text) == len(ids)

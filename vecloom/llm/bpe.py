@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,6 +28,27 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
 
 
+#: Ranges in which the library's character classes and those of the regex module agree (a test holds them against each
+#: other); a text with other characters is cut by the library itself.
+_OTHER = re.compile("[^\\x00-\u053f\u3000-\u9fff\uac00-\ud7a3]")
+_BYTES = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else "" for b in range(256)}
+_BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b, c in list(_BYTES.items()) if not c)}
+
+
+class _Cache(dict):
+    """Remembers make(key) for each key, in bounded memory."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Vocabulary:
     """A byte-level vocabulary with word ends, its merge ranks and its boundary pairs."""
 
@@ -43,30 +65,38 @@ class Vocabulary:
         self._special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         library = Tokenizer.from_file(path)
         self._normal, self._cut = library.normalizer, library.pre_tokenizer
+        pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self._find = regex.compile(pattern).findall
         #: Adjacent symbols found inside some token; any other adjacent pair can never be merged across.
         self.inside: set[tuple[str, str]] = set()
         for token in self.ids:
             parts = self.symbols(token[: -len(self.suffix)]) if self.suffix and token.endswith(self.suffix) else list(token)
             self.inside.update(zip(parts, parts[1:]))
-        self.counts: dict[str, int] = {}
-        self.codes: dict[str, tuple[int, str, str]] = {}
+        self.counts = _Cache(lambda word: self.count_word(self.byte_chars(word)))
+        self.codes = _Cache(self._code)
+
+    @staticmethod
+    def byte_chars(word: str) -> str:
+        """A word's UTF-8 bytes in the characters that stand for them in the vocabulary."""
+        return "".join(map(_BYTES.__getitem__, word.encode()))
 
     def symbols(self, word: str) -> list[str]:
         return [*word[:-1], word[-1] + self.suffix] if word else []
 
     def pieces(self, text: str):
-        """(special id, None) or (None, word) in order."""
+        """(special id, None) or (None, words) in order."""
         at = 0
         for found in self._special_re.finditer(text) if self._special_re else ():
-            yield from self._words(text[at : found.start()])
+            yield None, self._words(text[at : found.start()])
             yield self.special[found[0]], None
             at = found.end()
-        yield from self._words(text[at:] if at else text)
+        yield None, self._words(text[at:] if at else text)
 
-    def _words(self, text: str):
-        if text:
-            for word, _ in self._cut.pre_tokenize_str(self._normal.normalize_str(text)):
-                yield None, word
+    def _words(self, text: str) -> list[str]:
+        text = text.lower() if text.isascii() else self._normal.normalize_str(text) if text else ""
+        if not _OTHER.search(text):
+            return self._find(text)
+        return [text[a:b] for _, (a, b) in self._cut.pre_tokenize_str(text)]
 
     def count_word(self, word: str) -> int:
         """Tokens of one word: its symbols less the merges made, lowest rank first, leftmost on ties."""
@@ -97,18 +127,8 @@ class Vocabulary:
         return n - merges
 
     def count(self, text: str) -> int:
-        total, known = 0, self.counts
-        for special, word in self.pieces(text):
-            if special is not None:
-                total += 1
-                continue
-            n = known.get(word)
-            if n is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                n = known[word] = self.count_word(word)
-            total += n
-        return total
+        get = self.counts.__getitem__
+        return sum(1 if special is not None else sum(map(get, words)) for special, words in self.pieces(text))
 
     def fragments(self, word: str) -> list[list[str]]:
         """A word's symbols, cut between every two that no token holds side by side."""
@@ -161,20 +181,18 @@ class Vocabulary:
         """As the library without a decoder: the tokens' names joined by one space."""
         return " ".join(map(self.names.__getitem__, ids))
 
+    def _code(self, word: str) -> tuple[int, str, str]:
+        ids = self.encode_word(self.byte_chars(word))
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
     def encode(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, ids in decimal joined by one space, and the decoded text."""
-        known, found = self.codes, []
-        for special, word in self.pieces(text):
+        get, found = self.codes.__getitem__, []
+        for special, words in self.pieces(text):
             if special is not None:
                 found.append((1, str(special), self.names[special]))
-                continue
-            code = known.get(word)
-            if code is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                ids = self.encode_word(word)
-                code = known[word] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            found.append(code)
+            else:
+                found.extend(map(get, words))
         if not found:
             return 0, "", ""
         n, ids, names = zip(*found)
