@@ -39,6 +39,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_archive(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.lines import line_classes
+
+    return line_classes(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.katz import lm_scores
 
@@ -59,7 +65,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_quality, op5_warc, op7_lm_score, op8_ann, op9_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_quality, op5_warc, op6_line_dedup, op7_lm_score, op8_ann, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
