@@ -64,8 +64,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2(F.encode("ids_text", "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_quality, op5_warc, op6_line_dedup, op7_lm_score, op8_ann, op9_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_quality, op5_warc, op6_line_dedup, op7_lm_score, op8_ann, op9_bpe, op10_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
