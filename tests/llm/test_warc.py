@@ -33,7 +33,7 @@ def test_round_trip(spark):
 
 def test_urls_and_bodies_survive_and_an_archive_can_be_deduplicated_again(spark, tmp_path):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
-    warc.write_archives(warc.with_digests(df, "page_id", "url", "html").withColumns({"record_type": warc.F.lit("response"), "refers_to": warc.F.lit(None).cast("long")}), f"file://{tmp_path}/raw", 100)
+    warc.write_archives(warc.with_digests(df, "page_id", "url", "html").withColumns({"record_type": warc.F.lit("response"), "refers_to": warc.F.lit(None).cast("long")}), f"file://{tmp_path}/raw")
     records = warc.read_archives(spark, f"file://{tmp_path}/raw")
     assert sorted(((r.page_id, r.url, r.body) for r in records.collect()), key=str) == sorted(((i, u, t or "") for i, u, t in ROWS), key=str)
     for source, target in (("raw", "once"), ("once", "again")):

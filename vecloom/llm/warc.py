@@ -5,9 +5,9 @@ page_id of a digest stays a response and the others become revisit records
 that refer to it, written without payload under fresh headers. Reading back
 joins revisits to their responses.
 
-An archive is a gzip file of records in sequence. Records are dealt over one
-archive for each shuffle partition, or over more where one would pass
-ARCHIVE_BYTES, so that an archive can be read whole by one task; Spark's own writer and reader move them, so any file system
+An archive is a gzip file of records in sequence. Each task of the join that
+decides the records writes what it has, RECORDS to an archive at most, so
+payloads are shuffled once and an archive can be read whole by one task; Spark's own writer and reader move them, so any file system
 that Spark knows will do.
 
 Defined results: a null payload counts as empty; a null url is left out; equal
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.store import shared_dir, text_bytes
+from vecloom.llm.store import shared_dir
 
-ARCHIVE_BYTES = 64 << 20
+RECORDS = 10_000
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -67,13 +67,12 @@ def _uri(page_id) -> "F.Column":
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def write_archives(records: DataFrame, path: str, total_bytes: int) -> None:
+def write_archives(records: DataFrame, path: str) -> None:
     """records(page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to) as gzipped WARC files.
 
     A record ends with CR LF CR LF; the text writer adds the last LF. The url
     is written percent-encoded where a header could not hold it.
     """
-    n = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // ARCHIVE_BYTES))
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("url"), "%", "%25"), "\r", "%0D"), "\n", "%0A")
     text = F.concat_ws(
@@ -90,9 +89,7 @@ def write_archives(records: DataFrame, path: str, total_bytes: int) -> None:
         F.lit(""),
         F.concat(body, F.lit("\r\n\r")),
     )
-    archive = F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int")
-    rows = records.select(archive.alias("archive"), text.alias("value"))
-    rows.repartition(n, "archive").write.partitionBy("archive").option("compression", "gzip").option("lineSep", "\n").text(path)
+    records.select(text.alias("value")).write.option("maxRecordsPerFile", RECORDS).option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
 _END = re.compile(rb"\r\n\r\n")
@@ -179,8 +176,7 @@ def dedup_archive(pages: DataFrame, path: str | None = None, id_col: str = "page
     """Writes pages as a deduplicated archive and reads it back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
-    total = text_bytes(pages, payload_col)
-    write_archives(resolve(with_digests(pages, id_col, url_col, payload_col), min_bytes), path, total)
+    write_archives(resolve(with_digests(pages, id_col, url_col, payload_col), min_bytes), path)
     return expand_revisits(read_archives(spark, path, payloads=False)).drop("url")
 
 
@@ -189,5 +185,4 @@ def rededup_archive(spark: SparkSession, source: str, target: str, min_bytes: in
     records = read_archives(spark, source)
     texts = records.where("record_type = 'response'").groupBy(F.col("body_digest").alias("full_digest")).agg(F.max("body").alias("full"))
     whole = records.join(texts, F.col("payload_digest") == F.col("full_digest"), "left").select("page_id", "url", F.coalesce(F.when(F.col("record_type") == "response", F.col("body")), F.col("full"), F.lit("")).alias("payload"))
-    total = text_bytes(whole, "payload")
-    write_archives(resolve(with_digests(whole, "page_id", "url", "payload"), min_bytes), target, total)
+    write_archives(resolve(with_digests(whole, "page_id", "url", "payload"), min_bytes), target)
