@@ -46,6 +46,8 @@ def test_heap_equals_fragments():
     for w in ["internationalization", "aaaaaaaaaaaaaaa", "Ã©tÃ©", "zxqjk", "a"]:
         ids = words.encode_word(w)
         assert words.count_word(w) == len(ids) and [words.ids[t] for f in words.fragments(w) for t in words._merge_long(f)] == ids
+    long = "ab" * 3000 + "Ã©" * 700
+    assert words.count_word(long) == len(words.encode_word(long))
 
 
 def test_queries(spark):

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a worker; when full it starts anew.
-CACHE_WORDS = 300_000
+#: Words remembered by a worker.
+CACHE_WORDS = 400_000
 
 
 #: Ranges in which the library's character classes and those of the regex module agree (a test holds them against each
@@ -36,16 +36,18 @@ _BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b, c in list(_BYTES.items
 
 
 class _Cache(dict):
-    """Remembers make(key) for each key, in bounded memory."""
+    """Remembers make(key) for the keys met lately: when full, it becomes the older half and a new one begins."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 2:
+            self.older = self.copy()
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        value = self[key] = self.make(key) if value is None else value
         return value
 
 
@@ -143,19 +145,24 @@ class Vocabulary:
 
     def merge(self, part: list[str]) -> list[str]:
         """One fragment's tokens: the lowest-ranked pair is merged, leftmost first, until none is left."""
-        rank = self.rank
-        while len(part) > 1:
-            found = [(r, i) for i, x in enumerate(zip(part, part[1:])) if (r := rank.get(x)) is not None]
-            if not found:
+        rank, none = self.rank.get, 1 << 60
+        ranks = [rank(x, none) for x in zip(part, part[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == none:
                 break
-            _, i = min(found)
-            part = [*part[:i], part[i] + part[i + 1], *part[i + 2 :]]
+            i = ranks.index(low)
+            part[i] += part.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((part[i - 1], part[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((part[i], part[i + 1]), none)
         return part
 
     def encode_word(self, word: str) -> list[int]:
-        if len(word) > 2000:  # long fragments would make the scan above quadratic
-            return [self.ids[t] for f in self.fragments(word) for t in (self.merge(f) if len(f) <= 200 else self._merge_long(f))]
-        return [self.ids[t] for f in self.fragments(word) for t in self.merge(f)]
+        # A long fragment would make the scans above quadratic.
+        return [self.ids[t] for f in self.fragments(word) for t in (self.merge(f) if len(f) <= 500 else self._merge_long(f))]
 
     def _merge_long(self, part: list[str]) -> list[str]:
         n, rank = len(part), self.rank
