@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import pickle
 import tempfile
+import time
 import uuid
 
 import zstandard
@@ -41,9 +42,14 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs that nothing refers to any more."""
+    """Let Spark's cleaner drop the shuffle files of finished jobs that nothing refers to any more.
+
+    What Python lets go of reaches the JVM a moment later, hence the second time.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def squeeze(value) -> bytes:
