@@ -356,3 +356,6 @@ def rescore_calibrated(spark, d):
     noise = rescore.calibrate(c, retrieval.self_queries(c.join(tests.select(F.col("qid").alias("vec_id")), "vec_id", "left_anti").select("vec_id", "embedding"), N_QUERIES), first, Metric.COSINE, K)
     labels = tests.join(relevant(spark, d), "qid").select("qid", "relevant")
     return rescore.rescore_cells(c, tests, first, [codec_by_name("int8", DIM), codec_by_name("f32", DIM)], Metric.COSINE, K, [20, 50], [1.0, 2.0], noise, CAP, labels, "doc")
+
+
+from vecloom import registry_text  # noqa: E402,F401  registers the rest
