@@ -79,18 +79,20 @@ def _chars(x: str) -> str:
     return f"filter(split({x}, ''), c -> c <> '')"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with name bound to value, which is evaluated once (a column would be copied into each place of use)."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def close_pairs(pairs: DataFrame, tau: int) -> DataFrame:
-    """The rows of pairs(u, v, a, b) whose lines a and b are within tau edits, without a and b."""
+    """(u, v) of the rows of pairs(u, v, a, b) whose lines a and b are within tau edits."""
     steps = "array(" + ", ".join(str(1 << k) for k in range(20, -1, -1)) + ")"
-
-    # Lengths of the common beginning and end, by halving.
-    head = f"aggregate({steps}, 0, (r, d) -> if(r + d <= least(na, nb) and substring(a, 1, r + d) = substring(b, 1, r + d), r + d, r))"
-    tail = f"aggregate({steps}, 0, (r, d) -> if(r + d <= least(na, nb) - p and substring(a, na - r - d + 1, r + d) = substring(b, nb - r - d + 1, r + d), r + d, r))"
-    n = pairs.withColumns({"na": F.length("a"), "nb": F.length("b")}).where(F.expr(f"abs(na - nb) <= {tau}"))
-    n = n.withColumn("p", F.expr(head)).withColumn("q", F.expr(tail))
-    n = n.withColumns({"x": F.expr("substring(a, p + 1, na - p - q)"), "y": F.expr("substring(b, p + 1, nb - p - q)")})
-    n = n.withColumns({"x": F.expr(_chars("x")), "y": F.expr(_chars("y"))})
-    return n.where(F.expr(edit_within("x", "y", tau))).select("u", "v")
+    # Lengths of the common beginning p and end q, by halving.
+    head = f"aggregate({steps}, 0, (r, d) -> if(r + d <= least(m.a, m.b) and substring(a, 1, r + d) = substring(b, 1, r + d), r + d, r))"
+    tail = f"aggregate({steps}, 0, (r, d) -> if(r + d <= least(m.a, m.b) - p and substring(a, m.a - r - d + 1, r + d) = substring(b, m.b - r - d + 1, r + d), r + d, r))"
+    rest = f"struct({_chars('substring(a, p + 1, m.a - p - q)')} as a, {_chars('substring(b, p + 1, m.b - p - q)')} as b)"
+    close = _let("p", head, _let("q", tail, _let("w", rest, edit_within("w.a", "w.b", tau))))
+    return pairs.where(F.expr(_let("m", "struct(length(a) as a, length(b) as b)", f"abs(m.a - m.b) <= {tau} and {close}"))).select("u", "v")
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
