@@ -124,7 +124,7 @@ def corpus_body(title: Column, text: Column) -> Column:
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
     """A directory a document, holding its body."""
-    corpus.select(F.col("_id").alias("id"), F.rtrim(corpus_body(F.col("title"), F.col("text"))).alias("value")).write.partitionBy("id").text(path)
+    corpus.select(F.col("_id").alias("id"), F.regexp_replace(corpus_body(F.col("title"), F.col("text")), r"\n$", "").alias("value")).write.partitionBy("id").text(path)
 
 
 def read_documents(spark: SparkSession, paths: list[str], extensions: list[str]) -> DataFrame:
