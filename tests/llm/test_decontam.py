@@ -18,8 +18,10 @@ def lcs(a, b):
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(200):
-        a, b = (rng.integers(0, 5, rng.integers(0, 90)).astype(np.uint64) for _ in range(2))
-        assert decontam.common_subsequence(a, b) == lcs(a.tolist(), b.tolist())
+        a, b = (rng.integers(0, 5, rng.integers(1, 90)) for _ in range(2))
+        item = decontam.Item(1, a, 5)
+        assert decontam.common_subsequence(item.places, len(a), b.tolist()) == lcs(a.tolist(), b.tolist())
+        assert decontam.common_subsequence(item.tail, item.tail_n, b.tolist()) == lcs(a[-item.tail_n :].tolist(), b.tolist()) or len(a) < 3
 
 
 def test_svd_matches_numpy(spark):

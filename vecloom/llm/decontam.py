@@ -7,7 +7,8 @@ partial sums over the passage table) gives a latent space of RANK dimensions;
 passages it holds too little of get a further space, so that each passage is
 searched in one that holds at least HELD of it. Windows of every document, of
 the lengths the passages need, are folded in as sums of word vectors; those
-with a cosine of at least COSINE to a passage are candidates. A candidate is a
+with a cosine of at least COSINE to a passage are candidates (a window shorter
+than the passage's vector counts as of its length, as it lacks the rest). A candidate is a
 leak if a stretch of text about as long as the item (a quarter more) has a
 longest common subsequence with it of at least SURE of the item, or at least
 LIKELY of it with the answer (the item's last fifth) in that stretch. Items of
@@ -83,34 +84,54 @@ class Lookup:
         return out
 
 
-def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, a bit of one integer for each word of the item."""
-    places: dict[int, int] = {}
-    for k, w in enumerate(item.tolist()):
-        places[w] = places.get(w, 0) | 1 << k
-    full = (1 << len(item)) - 1
+def common_subsequence(places: dict[int, int], n: int, text: list[int]) -> int:
+    """Length of the longest common subsequence of text and an item of n words, a bit of one integer for each; places
+    has the bits of every word of the item."""
+    full = (1 << n) - 1
     row = full
-    for w in text.tolist():
+    for w in text:
         if m := places.get(w):
             u = row & m
             row = ((row + u) | (row - u)) & full
-    return len(item) - row.bit_count()
-
-
-def found_share(item: np.ndarray, text: np.ndarray) -> float:
-    """The largest share of the item in common with a stretch of text in which it counts as found, else 0."""
-    n = len(item)
-    least = n if n < SHORT else LIKELY * n
-    if common_subsequence(item, text) < least:
-        return 0.0
-    step = max(1, n // 8)
-    tail, length, best = item[-max(3, n // 5) :], n + n // 4 + step, 0
-    for at in range(0, max(1, len(text) - length + step), step):
-        part = text[at : at + length]
-        got = common_subsequence(item, part)
-        if got > best and got >= least and (got >= SURE * n or common_subsequence(tail, part) >= ANSWER * len(tail)):
-            best = got
-    return best / n
+    return n - row.bit_count()
+
+
+class Item:
+    """A benchmark item as vocabulary words."""
+
+    def __init__(self, item_id: int, words: np.ndarray, vocabulary: int):
+        self.id, self.n = item_id, len(words)
+        self.places: dict[int, int] = {}
+        for k, w in enumerate(words.tolist()):
+            self.places[w] = self.places.get(w, 0) | 1 << k
+        tail = min(max(3, self.n // 5), self.n)
+        self.tail = {w: bits >> (self.n - tail) for w, bits in self.places.items() if bits >> (self.n - tail)}
+        self.tail_n = tail
+        self.member = np.zeros(vocabulary + 1, bool)  # the last is for words outside the vocabulary
+        self.member[words] = True
+
+    def found_share(self, text: np.ndarray) -> float:
+        """The largest share of the item in common with a stretch of text (vocabulary words or -1) in which it counts
+        as found, else 0. Words that are not the item's can't be in common and are passed over."""
+        n = self.n
+        least = n if n < SHORT else LIKELY * n
+        at = np.flatnonzero(self.member[text])
+        if len(at) < least:
+            return 0.0
+        own = text[at].tolist()
+        if common_subsequence(self.places, n, own) < least:
+            return 0.0
+        step = max(1, n // 8)
+        length, best = n + n // 4 + step, 0
+        starts = np.arange(0, max(1, len(text) - length + step), step)
+        for a, b in zip(np.searchsorted(at, starts).tolist(), np.searchsorted(at, starts + length).tolist()):
+            if b - a <= best or b - a < least:
+                continue
+            part = own[a:b]
+            got = common_subsequence(self.places, n, part)
+            if got > best and got >= least and (got >= SURE * n or common_subsequence(self.tail, self.tail_n, part) >= ANSWER * self.tail_n):
+                best = got
+        return best / n
 
 
 def _counts(docs: DataFrame, text_col: str, lookup: Lookup) -> tuple[int, np.ndarray]:
@@ -193,19 +214,21 @@ class Searcher:
     """One block of the benchmark, ready to be held against texts."""
 
     def __init__(self, items, passages, lookup, weight, spaces):
-        self.items, self.passages, self.lookup = items, passages, lookup
+        self.passages, self.lookup = passages, lookup
+        self.items = [Item(i, lookup(w), len(lookup.table)) for i, w in items]
         self.weighted = weight > 0
         self.spaces = [(v * weight[:, None]).astype(np.float32) for v, _ in spaces]
         self.sought = [[self._group(space, own, size) for size in (2, 4, 8)] for space, (_, own) in zip(self.spaces, spaces)]
 
     def _group(self, space, own, size):
-        """Passages whose windows have that many chunks, and their unit vectors."""
+        """Passages whose windows have that many chunks, their unit vectors and their norms."""
         mine = [p for p in own if (size == 2 or len(self.passages[p][1]) > CHUNK * size // 4) and (len(self.passages[p][1]) <= CHUNK * size // 2 or size == 8)]
         vectors = np.zeros((len(mine), space.shape[1]), np.float32)
         for k, p in enumerate(mine):
             at = self.lookup(self.passages[p][1])
             vectors[k] = space[at[at >= 0]].sum(0)
-        return np.array(mine, np.int64), (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).T.copy()
+        norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
+        return np.array(mine, np.int64), (vectors / norms[:, None]).T.copy(), norms
 
     def leaks(self, texts: list[str]):
         """(text, item, share in common, cosine) of every leak."""
@@ -217,8 +240,8 @@ class Searcher:
         chunks = -(-sizes // CHUNK)
         chunk_first = np.cumsum(chunks) - chunks
         at = self.lookup(words)
-        at[at >= 0] = np.where(self.weighted[at[at >= 0]], at[at >= 0], -1)
         hit = np.flatnonzero(at >= 0)
+        hit = hit[self.weighted[at[hit]]]
         chunk = chunk_first[of[hit]] + (hit - first[of[hit]]) // CHUNK
         doc = np.repeat(np.arange(len(texts)), chunks)
         place = np.arange(len(doc)) - chunk_first[doc]
@@ -232,7 +255,7 @@ class Searcher:
                     stop = edge[b] if b < len(full) else len(hit)
                     sums[full[a:b]] = np.add.reduceat(space[at[hit[edge[a] : stop]]], edge[a:b] - edge[a], axis=0)
                 owner = np.append(doc, np.arange(-1, -9, -1))
-                for size, (mine, vectors) in zip((2, 4, 8), groups):
+                for size, (mine, vectors, norms) in zip((2, 4, 8), groups):
                     half = size // 2
                     sums[:-half] += sums[half:] * (owner[half:] == owner[:-half])[:, None]
                     if not len(mine):
@@ -241,19 +264,19 @@ class Searcher:
                     for a in range(0, len(window), 8192):
                         own = window[a : a + 8192]
                         norm = np.linalg.norm(sums[own], axis=1)
-                        own, norm = own[norm > 0], norm[norm > 0]
-                        cosine = sums[own] @ vectors / norm[:, None]
+                        enough = norm >= COSINE * norms.min()
+                        own, norm = own[enough], norm[enough]
+                        cosine = sums[own] @ vectors / np.maximum(norm[:, None], norms[None, :])
                         for i, j in zip(*np.nonzero(cosine >= COSINE)):
                             found.add((int(doc[own[i]]), int(place[own[i]]) * CHUNK, size * CHUNK, int(mine[j]), round(float(cosine[i, j]), 6)))
         best: dict[tuple[int, int], tuple] = {}
         for d, start, length, p, cosine in sorted(found, key=lambda x: -x[4]):
-            item_no = self.passages[p][0]
-            item_id, item = self.items[item_no]
-            if (d, item_id) in best:
+            item = self.items[self.passages[p][0]]
+            if (d, item.id) in best:
                 continue
-            text = words[first[d] : first[d] + sizes[d]][max(0, start - len(item)) : start + length + len(item)]
-            if share := found_share(item, text):
-                best[d, item_id] = (share, cosine)
+            text = at[first[d] : first[d] + sizes[d]][max(0, start - item.n) : start + length + item.n]
+            if share := item.found_share(text):
+                best[d, item.id] = (share, cosine)
         return [(d, i, *x) for (d, i), x in best.items()]
 
 
