@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,24 @@ def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> Spark
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, unless their import path has it as the driver's has: workers start
+    in the driver's folder in local mode, or with its PYTHONPATH."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    if root in known or getattr(spark.sparkContext, "_vecloom_shipped", False):
+        return
+    base = tempfile.mkdtemp()
+    with zipfile.ZipFile(f"{base}/vecloom.zip", "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "vecloom")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(f"{base}/vecloom.zip")
+    spark.sparkContext._vecloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, read whole; Catalyst prunes columns and pushes filters."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
