@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.llm import oracles
 from vecloom.session import table
 
 
@@ -75,4 +76,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": oracles.OP1, "op3_minhash_dedup": oracles.OP3, "op5_warc": oracles.OP5}
