@@ -102,6 +102,7 @@ def per_query(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
 def recall_report(collection: DataFrame, queries: DataFrame, codecs: list[Codec], metric: Metric, k: int, relevant: DataFrame | None = None, doc_col: str | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row a codec."""
     vectors, out = collection.agg(F.count(F.lit(1)).alias("vectors")), None
+    queries = queries.persist()
     for codec in codecs:
         rows = scored(collection, queries, codec, metric, k, k, id_col, vector_col, doc_col).persist()
         exact, approx = ranked(rows, metric, k, k)
@@ -128,6 +129,7 @@ def recall_report(collection: DataFrame, queries: DataFrame, codecs: list[Codec]
 
 def first_stage_ranks(collection: DataFrame, queries: DataFrame, codec: Codec, metric: Metric, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(qid, vec_id, re, rank): the codec's rank of every true neighbour, over the whole collection."""
+    queries = queries.persist()
     rows = scored(collection, queries, codec, metric, k, 1, id_col, vector_col)
     truth = ranked(rows, metric, k, 1)[0].where(F.col("re") <= k).select("qid", "vec_id", "re", "ap").persist()
     out = None

@@ -92,6 +92,7 @@ def rescore_cells(collection: DataFrame, queries: DataFrame, first: Codec, secon
     """One row for each (second, policy): mean and p90 depth, recall, p10 recall, top-1 agreement, labels, bytes read."""
     n = collection.count()
     cap = min(max(max_depth, k), n)
+    queries = queries.persist()
     rows = scored(collection, queries, first, metric, k, cap, doc_col=doc_col).persist()
     exact, approx = (x.persist() for x in ranked(rows, metric, k, cap))
     truth = exact.where(F.col("re") <= k).select("qid", "vec_id", "re")
@@ -124,6 +125,7 @@ def rescore_cells(collection: DataFrame, queries: DataFrame, first: Codec, secon
 
 def traces(collection: DataFrame, queries: DataFrame, codec: Codec, metric: Metric, k: int, cap: int, margins: list[float], noise: float) -> DataFrame:
     """(qid, ranks, band, band_hat, margin_depths): all that replaying a policy needs."""
+    queries = queries.persist()
     rows = scored(collection, queries, codec, metric, k, cap).persist()
     exact, approx = ranked(rows, metric, k, cap)
     ranks = first_stage_ranks(collection, queries, codec, metric, k).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("re", "rank"))), lambda x: x["rank"]).alias("ranks"))

@@ -65,14 +65,18 @@ class Queries:
 
 
 def query_blocks(queries: DataFrame) -> list[Queries]:
-    n = queries.count()
-    blocks = -(-n // QUERY_BLOCK)
-    out = []
-    for b in range(max(blocks, 1)):
-        part = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(2 * blocks)).isin(2 * b, 2 * b + 1))
-        t = part.select("qid", "vector", F.coalesce("exclude", F.lit(np.iinfo(np.int64).min).cast("long")).alias("exclude")).orderBy("qid").toArrow()
-        out.append(Queries(t.column("qid").to_numpy(), matrix(t.column("vector")), t.column("exclude").to_numpy()))
-    return out
+    """The queries on the driver, QUERY_BLOCK at most in a block; a few queries take one job."""
+    rows = queries.select("qid", "vector", F.coalesce("exclude", F.lit(np.iinfo(np.int64).min).cast("long")).alias("exclude"))
+    first = rows.limit(QUERY_BLOCK + 1).toArrow()
+    if first.num_rows <= QUERY_BLOCK:
+        return [_block(first)]
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    return [_block(rows.where(F.pmod(F.xxhash64("qid"), F.lit(2 * blocks)).isin(2 * b, 2 * b + 1)).toArrow()) for b in range(blocks)]
+
+
+def _block(t: pa.Table) -> Queries:
+    t = t.sort_by("qid")
+    return Queries(t.column("qid").to_numpy(), matrix(t.column("vector")), t.column("exclude").to_numpy())
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int, metric: Metric) -> np.ndarray:
