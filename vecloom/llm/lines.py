@@ -8,7 +8,10 @@ longer line probes the few starts that can match (multi-match-aware selection),
 and the pairs found are verified by a banded bit-parallel edit distance: one
 integer holds, for every number of errors, the diagonals of the band that are
 still reachable, and one shift, mask and match a character moves it on. Before
-that, the common beginning and end of a pair are set aside.
+that, the common beginning and end of a pair are set aside. Lines with a segment
+that another line of their length shares also carry 64 parities of their pairs
+of neighbouring characters: an edit changes four at most, so pairs that differ
+in more than four a permitted edit are dropped where they meet.
 
 Scale: lines are counted once, combined before the shuffle, so one that a third
 of all rows share travels once a task; only distinct lines are indexed. Texts
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.graph import components
-from vecloom.llm.store import release, written
+from vecloom.llm.store import narrowed, release, written
 
 THRESHOLD = 2
 MIN_CHARS = 24
@@ -45,12 +48,13 @@ def _segment(i: int, length: str, tau: int) -> tuple[str, str]:
 
 
 def _keys(tau: int, shift: int, probe: bool) -> list[str]:
-    """SQL for the hashed segments of a line of length n as one of length n - shift: its own, or those it probes."""
+    """SQL for the hashed segments of a line of length n as one of length n - shift: its own, or those it probes
+    (besides its own)."""
     found, length = [], f"(n - {shift})"
     for i in range(1, tau + 2):
         start, size = _segment(i, length, tau)
         low, high = max(1 - i, shift - (tau + 1 - i)), min(i - 1, shift + (tau + 1 - i))
-        for off in range(low, high + 1) if probe else (0,):
+        for off in [o for o in range(low, high + 1) if o or shift] if probe else (0,):
             at = f"({start} + {off})"
             found.append(f"if({at} >= 1 and {at} + {size} <= n + 1, xxhash64({length}, {i}, substring(line, {at}, {size})), null)")
     return found
@@ -95,6 +99,24 @@ def close_pairs(pairs: DataFrame, tau: int) -> DataFrame:
     return pairs.where(F.expr(_let("m", "struct(length(a) as a, length(b) as b)", f"abs(m.a - m.b) <= {tau} and {close}"))).select("u", "v")
 
 
+def parities() -> str:
+    """SQL: 64 parities of hashed pairs of neighbouring characters of line."""
+    pairs = "aggregate(if(size(c) < 2, array(), sequence(0, size(c) - 2)), 0L, (s, i) -> s ^ shiftleft(1L, cast(xxhash64(get(c, i), get(c, i + 1)) & 63L as int)))"
+    return _let("c", _chars("line"), pairs)
+
+
+def _bits_of(ids: DataFrame) -> DataFrame:
+    """(w, bits): a table of which ids (column id) may be there; BIT_WORDS rows at most."""
+    rows = ids.select(F.expr(f"shiftright(id, 1) & {BIT_WORDS - 1}L").alias("w"), F.expr("shiftleft(1L, cast(shiftright(id, 20) & 63L as int))").alias("bit"))
+    return rows.groupBy("w").agg(F.bit_or("bit").alias("bits"))
+
+
+def _maybe(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """df with held: whether its id may be one of ids."""
+    held = F.expr("coalesce(shiftright(bits, cast(shiftright(id, 20) & 63L as int)) & 1L = 1L, false)")
+    return df.withColumn("w", F.expr(f"shiftright(id, 1) & {BIT_WORDS - 1}L")).join(F.broadcast(_bits_of(ids)), "w", "left").withColumn("held", held).drop("w", "bits")
+
+
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row_key (hash of the text), line_no from 0, line; one row for each line."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -110,24 +132,29 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     min_chars = max(min_chars, 2 * tau + 2)
     lines = lines_of(df, id_col, text_col).where(F.expr("trim(line) <> ''"))
-    distinct = written(lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(F.expr(_ID).alias("id"), "line", "copies", F.length("line").alias("n")), "lines-distinct")
+    counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(F.expr(_ID).alias("id"), "line", "copies", F.length("line").alias("n"))
+    distinct = written(counted.withColumn("own", F.expr(f"if(n >= {min_chars}, array({', '.join(_keys(tau, 0, False))}), null)")), "lines-distinct")
     release(spark)
     long = distinct.where(F.col("n") >= min_chars)
-    own = long.select("id", F.explode(F.expr(f"array({', '.join(_keys(tau, 0, False))})")).alias("key"))
-    probes = [f"transform(array({', '.join(_keys(tau, 0, True))}), k -> struct(k as key, id | 1L as code))"]
+    own_keys = F.explode("own").alias("key")
+    crowded = written(long.select(own_keys).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "lines-crowded")
+    release(spark)
+    crowd = written(narrowed(long.select("id", own_keys), "key", crowded, "key").join(crowded, "key").select("id").distinct(), "lines-crowd")
+    marked = _maybe(long, crowd).withColumn("sign", F.expr(f"if(held, {parities()}, null)"))
+    own = marked.select("id", "sign", own_keys)
+    probes = [f"transform(concat(own, array({', '.join(_keys(tau, 0, True))})), k -> struct(k as key, id | 1L as code))"]
     probes += [f"if(n - {s} >= {min_chars}, transform(array({', '.join(_keys(tau, s, True))}), k -> struct(k as key, id as code)), array())" for s in range(1, tau + 1)]
-    probe = long.select(F.explode(F.expr(f"concat({', '.join(probes)})")).alias("r")).select("r.key", "r.code").where("key is not null")
-    met = own.alias("o").join(probe.alias("p"), "key").where("o.id <> (p.code & -2L) and ((p.code & 1L) = 0 or o.id < (p.code & -2L))")
+    probe = marked.select("sign", F.explode(F.expr(f"concat({', '.join(probes)})")).alias("r")).select("r.key", "r.code", "sign").where("key is not null")
+    alike = f"coalesce(bit_count(o.sign ^ p.sign) <= {4 * tau}, true)"
+    met = own.alias("o").join(probe.alias("p"), "key").where(f"o.id <> (p.code & -2L) and ((p.code & 1L) = 0 or o.id < (p.code & -2L)) and {alike}")
     pairs = written(met.select(F.col("o.id").alias("u"), F.expr("p.code & -2L").alias("v")).distinct(), "lines-pairs")
     release(spark)
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).select(F.expr(f"shiftright(id, 1) & {BIT_WORDS - 1}L").alias("w"), F.expr("shiftleft(1L, cast(shiftright(id, 20) & 63L as int))").alias("bit"))
-    table = ends.groupBy("w").agg(F.bit_or("bit").alias("bits"))  # BIT_WORDS rows at most
-    texts = long.withColumn("w", F.expr(f"shiftright(id, 1) & {BIT_WORDS - 1}L")).join(F.broadcast(table), "w").where("shiftright(bits, cast(shiftright(id, 20) & 63L as int)) & 1L = 1L").select("id", "line")
+    texts = _maybe(long, pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))).where("held").select("id", "line")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
     links = written(close_pairs(both, tau), "lines-links")
     release(spark)
     roots = components(links, "lines-classes")
-    degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     again = distinct.where("copies > 1").select("id").unionByName(degree.select("id")).distinct()
     known = again.join(degree, "id", "left").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return written(known, "lines-known"), links

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes in a packed group, and text bytes that one bucket of a regrouping stands for.
 GROUP_BYTES = 6 << 20
+BIT_WORDS = 1 << 16
 BUCKET_BYTES = 4 << 20
 
 
@@ -52,6 +53,24 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def narrowed(df: DataFrame, col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
+    """The rows of df that may have a wanted value: all that do and few others, told by a table of 2**22 bits.
+
+    The table is BIT_WORDS rows whatever the number of wanted values, so it can be sent to every task; a join after
+    this moves little. With very many wanted values it lets everything pass.
+    """
+
+    def word(c):
+        return F.xxhash64(c).bitwiseAND(F.lit(BIT_WORDS - 1))
+
+    def place(c):
+        return F.shiftrightunsigned(F.xxhash64(c), 32).bitwiseAND(F.lit(63)).cast("int")
+
+    bits = wanted.select(word(wanted_col).alias("_w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place(wanted_col)).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    held = F.call_function("shiftright", F.col("_bits"), place(col)).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(bits), word(col) == F.col("_w")).where(held).select(*df.columns)
+
+
 def squeeze(value) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, protocol=5))
 
