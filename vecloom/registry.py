@@ -120,7 +120,7 @@ def top_sql(metric: str, prep: str = "", score: str | None = None, k: int = K) -
 def _top(spark, d, metric: str, codec: str | None = None) -> DataFrame:
     c = collection(spark, d)
     used = None if codec is None else fit_codec(codec, c, DIM)
-    return retrieval.top_k(c, self_queries(spark, d), K, Metric(metric), used).select("qid", "rank", "vec_id", r6("score").alias("score"))
+    return retrieval.top_k(c, self_queries(spark, d), K, Metric(metric), used).select("qid", F.col("rank").cast("bigint").alias("rank"), "vec_id", r6("score").alias("score"))
 
 
 def _register_tops():
@@ -142,13 +142,13 @@ _register_tops()
 @query(top_sql("cosine"))
 def exact_topk_cosine_native(spark, d):
     """The same ranking by built-in expressions alone."""
-    return retrieval.top_k_sql(collection(spark, d), self_queries(spark, d), K, Metric.COSINE).select("qid", "rank", "vec_id", r6("score").alias("score"))
+    return retrieval.top_k_sql(collection(spark, d), self_queries(spark, d), K, Metric.COSINE).select("qid", F.col("rank").cast("bigint").alias("rank"), "vec_id", r6("score").alias("score"))
 
 
 @query(top_sql("cosine", "dec AS (SELECT vec_id, v AS w FROM e)", "cos(pi() * len(list_filter(range(1, 65), lambda i: (qv[i] > 0) <> (w[i] > 0))) / 64)"))
 def hamming_topk(spark, d):
     c = codec_by_name("binary-hamming", DIM)
-    return retrieval.hamming_top_k(table(spark, d, "embeddings"), self_queries(spark, d), K, Metric.COSINE, c).select("qid", "rank", "vec_id", r6("score").alias("score"))
+    return retrieval.hamming_top_k(table(spark, d, "embeddings"), self_queries(spark, d), K, Metric.COSINE, c).select("qid", F.col("rank").cast("bigint").alias("rank"), "vec_id", r6("score").alias("score"))
 
 
 # -- codes, parameters and vector functions -------------------------------------------------------------------------
@@ -216,7 +216,7 @@ def _register_mixed():
 _register_mixed()
 
 
-@query("SELECT * FROM (VALUES ('f32', 256, 1.0), ('int8', 72, 3.555556), ('binary', 8, 32.0), ('binary-centred', 8, 32.0), ('binary-hamming', 8, 32.0), ('pq8', 8, 32.0), ('mrl16', 64, 4.0), ('mrl32+int8', 40, 6.4), ('mixed8', 8, 32.0)) t(codec, bytes, ratio)")
+@query("SELECT codec, bytes, ratio::DOUBLE AS ratio FROM (VALUES ('f32', 256, 1.0), ('int8', 72, 3.555556), ('binary', 8, 32.0), ('binary-centred', 8, 32.0), ('binary-hamming', 8, 32.0), ('pq8', 8, 32.0), ('mrl16', 64, 4.0), ('mrl32+int8', 40, 6.4), ('mixed8', 8, 32.0)) t(codec, bytes, ratio)")
 def compression_table(spark, d):
     rows = [(c.name, c.size, float(c.compression_ratio)) for c in (codec_by_name(n, DIM) for n in ("f32", "int8", "binary", "binary-centred", "binary-hamming", "pq8", "mrl16", "mrl32+int8", "mixed8"))]
     return spark.createDataFrame(rows, "codec string, bytes int, ratio double").select("codec", "bytes", r6("ratio").alias("ratio"))
@@ -284,7 +284,7 @@ def spacing_by_query(spark, d):
     return recall.per_query(*_scored(spark, d, "binary"), K).select("qid", r6("recall").alias("recall"), "top1", r6("gap").alias("gap"), r6("band").alias("band"), r6("noise").alias("noise"))
 
 
-@query(f"WITH {_ranked_sql('binary')}, {_LABEL_SQL} SELECT qid, docrec > 0 AS hit, docrec AS doc_recall, round(ndcg, 6) + 0.0 AS ndcg FROM nd")
+@query(f"WITH {_ranked_sql('binary')}, {_LABEL_SQL} SELECT qid, docrec > 0 AS hit, docrec::DOUBLE AS doc_recall, round(ndcg, 6) + 0.0 AS ndcg FROM nd")
 def ndcg_at_k(spark, d):
     _, approx = _scored(spark, d, "binary")
     labels = self_queries(spark, d).join(relevant(spark, d), "qid").select("qid", "relevant")
@@ -294,7 +294,7 @@ def ndcg_at_k(spark, d):
 @query(f"WITH {_ranked_sql('binary')} SELECT qid, vec_id, re, ra AS rank FROM r WHERE re <= {K}")
 def first_stage_ranks(spark, d):
     c = collection(spark, d)
-    return recall.first_stage_ranks(c, self_queries(spark, d), codec_by_name("binary", DIM), Metric.COSINE, K)
+    return recall.first_stage_ranks(c, self_queries(spark, d), codec_by_name("binary", DIM), Metric.COSINE, K).withColumn("re", F.col("re").cast("bigint"))
 
 
 @query(f"WITH {_ranked_sql('binary')}, {_per_query_sql()} SELECT qid, round(band, 6) + 0.0 AS band, round(band_hat, 6) + 0.0 AS band_hat FROM pq")

@@ -327,7 +327,7 @@ _MW, _MA = f"{_MOK} AND {_m('step')} = 'write'", f"{_MOK} AND {_m('step')} = 'as
     "row_number() OVER (ORDER BY min(created_at)) AS place FROM runs WHERE kind = 'memory' GROUP BY coalesce(codec, '-')"
 )
 def memory_summary(spark, d):
-    out = runs.memory_summary(run_log(spark, d))
+    out = runs.memory_summary(run_log(spark, d)).withColumn("place", F.col("place").cast("bigint"))
     doubles = [c for c, t in out.dtypes if t == "double"]
     return out.select(*[r6(c).alias(c) if c in doubles else F.col(c) for c in out.columns])
 
@@ -349,7 +349,7 @@ def memory_asof_topk(spark, d):
     n = F.sqrt(F.size("ask_w").cast("double") * F.size("write_w"))
     score = F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("ask_w", "write_w")) / F.nullif(n, F.lit(0.0)))
     top = memory.as_of_top_k(s.where("step = 'ask'").drop("step"), s.where("step = 'write'").drop("step"), score, 3, ["conv_id"])
-    return top.select("conv_id", F.col("ask_step_index").alias("ask_step"), F.col("write_step_index").alias("write_step"), r6("score").alias("score"), "rank")
+    return top.select("conv_id", F.col("ask_step_index").alias("ask_step"), F.col("write_step_index").alias("write_step"), r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_STEPS} SELECT conv_id, i AS step_index, step, CASE WHEN step = 'write' THEN 8 * len(string_split(text, ' ')) ELSE 0 END::BIGINT AS bytes, sum(CASE WHEN step = 'write' THEN 8 * len(string_split(text, ' ')) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i)::BIGINT AS cumulative_bytes, sum(CASE WHEN step = 'write' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i)::BIGINT AS cumulative_chunks FROM st")
