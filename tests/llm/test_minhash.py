@@ -63,6 +63,18 @@ def test_signatures_estimate_weighted_similarity():
         assert abs((sig[0] == sig[1]).mean() - true) < 4 * (true * (1 - true) / 4000) ** 0.5 + 0.002
 
 
+def test_profiles_never_rule_out_similar_bags():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = rng.integers(0, 5, 40), rng.integers(0, 5, 40)
+        same = rng.random(40) < 0.9
+        a[same] = b[same]
+        slot = rng.integers(0, 7, 40)
+        pa_, pb = (np.bincount(slot, weights=x, minlength=7).astype(np.uint16) for x in (a, b))
+        if np.minimum(a, b).sum() >= 0.8 * np.maximum(a, b).sum():
+            assert minhash._possible(pa_, pb[None], a.sum(), np.array([b.sum()]), 0.8)[0]
+
+
 def test_matches_all_pairs(spark):
     rows = make()
     df = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, bands string").repartition(4)
@@ -74,7 +86,8 @@ def test_matches_all_pairs(spark):
 
 
 def test_large_groups_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", 3)
+    for name, value in (("SMALL", 3), ("DIVIDED", 12), ("BLOCK", 5)):
+        monkeypatch.setattr(minhash, name, value)
     rng = random.Random(4)
     common = [f"c{k}" for k in range(60)]
     rows = []

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from vecloom.llm.store import tidied
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words remembered by a worker.
 CACHE_WORDS = 400_000
@@ -42,6 +44,11 @@ class _Cache(dict):
         super().__init__()
         self.make, self.older = make, {}
 
+    def forget(self) -> None:
+        """A worker outlives its task; what it has learned need not."""
+        self.clear()
+        self.older = {}
+
     def __missing__(self, key):
         if len(self) >= CACHE_WORDS // 2:
             self.older = self.copy()
@@ -226,12 +233,14 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         words = vocabulary(vocabulary_path(vocabulary_name))
+        words.counts.forget()
         for batch in batches:
             n = [words.count(t) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+        words.counts.forget()
 
     rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, f"{id_col} long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(tidied(run), f"{id_col} long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_name: str = VOCABULARY) -> DataFrame:
@@ -239,6 +248,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         words = vocabulary(vocabulary_path(vocabulary_name))
+        words.codes.forget()
         for batch in batches:
             ids = batch.column(0)
             at, size, rows = 0, 0, []
@@ -249,6 +259,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     n, codes, names = zip(*rows)
                     yield pa.RecordBatch.from_arrays([ids[at : k + 1], pa.array(n, pa.int64()), pa.array(codes, pa.string()), pa.array(names, pa.string())], names=[id_col, "n_tokens", "ids_text", "decoded"])
                     at, size, rows = k + 1, 0, []
+        words.codes.forget()
 
     rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"{id_col} long, n_tokens long, ids_text string, decoded string")
+    return rows.mapInArrow(tidied(run), f"{id_col} long, n_tokens long, ids_text string, decoded string")

@@ -12,10 +12,16 @@ fills the signature.
 Two documents of similarity THRESHOLD share one of the bands with a probability
 of 0.99997. Documents that share one are linked where the overlap of their
 whole multisets confirms it. Copies are folded into one first. Within a band's
-group all are compared with its smallest id; pairs of documents still in
-different classes are then compared directly in groups of at most SMALL, and
-larger groups are cut by a further band (which such pairs share again, with
-the same probability) until all are small, so no link depends on a cap.
+group all are compared with its smallest id, which then leaves. In groups that
+still hold several classes, every document outside the largest class is held
+against all of other classes: by pairs in groups of at most SMALL, else block by
+block on signatures, first for the likeliest link of each, then for all, so no
+link depends on a cap. Groups with over DIVIDED such documents are first cut by
+a further band, which pairs of THRESHOLD share again with the same probability.
+Only pairs whose signatures agree as those of THRESHOLD do, less four standard
+deviations, are read and compared in full; within blocks, also only those that
+the counts of shingles in PROFILE slots, which bound the overlap from above,
+leave possible.
 
 Defined results: words are runs of bytes other than space and 0x09-0x0D; null,
 empty and blank texts are never duplicates; rows with equal doc_id are one
@@ -35,13 +41,16 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import kernel
 from vecloom.llm.graph import components
-from vecloom.llm.store import release, written
+from vecloom.llm.store import narrowed, release, small_batches, tidied, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
 SIZE = BANDS * ROWS
-SMALL = 32
+SMALL, DIVIDED = 24, 4096
+#: Rows of a block of a group, on either side.
+BLOCK = 1024
+PROFILE = 512
 
 
 def shingles(texts: list[bytes], n: int = SHINGLE):
@@ -128,7 +137,8 @@ def overlap(a: tuple, b: tuple) -> float:
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, k1 and k2 (a 128-bit name of the multiset), n (its size), bands; n = 0 and no bands without words."""
+    """doc_id, k1 and k2 (a 128-bit name of the multiset), n (its size), bands, sketch (16 bits of each component); no
+    bands without words."""
 
     def run(batches):
         for batch in batches:
@@ -142,16 +152,104 @@ def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def one(ids, texts):
         grams, counts, of = shingles(texts)
-        bands = band_hashes(signatures(grams, counts, of, len(texts))).view(np.int64)
+        sig = signatures(grams, counts, of, len(texts))
+        bands = band_hashes(sig).view(np.int64)
+        sketch = np.ascontiguousarray((sig >> np.uint64(13)).astype(np.uint16))
         n = np.bincount(of, weights=counts, minlength=len(texts)).astype(np.int64)
         edge = np.searchsorted(of, np.arange(len(texts) + 1))
         names = [hashlib.blake2b(grams[a:b].tobytes() + counts[a:b].astype(np.int64).tobytes(), digest_size=16).digest() for a, b in zip(edge, edge[1:])]
         pair = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
         cells = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, BANDS, 0))), pa.int32()), pa.array(bands[n > 0].ravel()))
-        return pa.RecordBatch.from_arrays([ids, pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n), cells], names=["doc_id", "k1", "k2", "n", "bands"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n), cells, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "k1", "k2", "n", "bands", "sketch"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
+    return rows.mapInArrow(tidied(run), "doc_id long, k1 long, k2 long, n long, bands array<long>, sketch binary")
+
+
+def _least(threshold: float) -> float:
+    """Components in which signatures of similar documents agree, four standard deviations off."""
+    return threshold * SIZE - 4 * (SIZE * threshold * (1 - threshold)) ** 0.5
+
+
+def _profiles(rows: DataFrame) -> DataFrame:
+    """(doc_id, profile): how many shingles of each text fall in each slot, as 16-bit counts (larger ones count as full)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                grams, counts, _ = shingles([x.as_py().encode()])
+                slots = np.bincount((grams >> np.uint64(40)).astype(np.int64) % PROFILE, weights=counts, minlength=PROFILE)
+                out.append(np.minimum(slots, 65535).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "profile"])
+
+    return rows.mapInArrow(tidied(run), "doc_id long, profile binary")
+
+
+def _possible(a: np.ndarray, b: np.ndarray, na: int, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the profiles (b one a row) leave room for a weighted Jaccard similarity of threshold."""
+    full = (a == 65535) & (b == 65535)
+    most = np.minimum(a.astype(np.int64), b).sum(1)
+    return full.any(1) | (most * (1 + threshold) >= threshold * (na + nb) - 1e-6)
+
+
+def _held_against(named: DataFrame, sketches: DataFrame, threshold: float, likeliest: bool) -> DataFrame:
+    """(u, v) of documents of a group in different classes, one outside its largest, that may be similar by signature
+    and profile.
+
+    named(key, doc_id, n, label, main, m, others), sketches(doc_id, sketch, profile); likeliest: for each document
+    outside, the best in each block alone.
+    """
+    least = _least(threshold)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        (a, na, la, sa, pa_), (b, nb, lb, sb, pb) = (
+            (*(t.column(c).to_numpy() for c in ("doc_id", "n", "label")), *(np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(t.num_rows, -1) for c in ("sketch", "profile")))
+            for t in (left, right)
+        )
+        u, v = [], []
+        for i in range(len(a)):
+            agree = np.where(lb != la[i], (sb == sa[i]).sum(1), 0)
+            hit = np.flatnonzero(agree >= least)
+            hit = hit[_possible(pa_[i], pb[hit], na[i], nb[hit], threshold)]
+            if likeliest and len(hit):
+                hit = hit[[agree[hit].argmax()]]
+            u.append(np.minimum(a[i], b[hit]))
+            v.append(np.maximum(a[i], b[hit]))
+        return pa.table({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
+
+    def parts(n):
+        return F.ceil(F.col(n) / BLOCK).cast("int")
+
+    def share(n):
+        return F.pmod(F.xxhash64("doc_id"), parts(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), parts(n) - 1))
+
+    rows = named.join(sketches, "doc_id")
+    outside = rows.where("label <> main").withColumn("chunk", share("others")).withColumn("block", every("m")).select("key", "block", "chunk", "doc_id", "n", "label", "sketch", "profile")
+    inside = rows.withColumn("block", share("m")).withColumn("chunk", every("others"))
+    inside = inside.select(*[F.col(c).alias(f"{c}_") for c in ("key", "block", "chunk")], *[F.col(c).alias(c) for c in ("doc_id", "n", "label", "sketch", "profile")])
+    return outside.groupBy("key", "block", "chunk").cogroup(inside.groupBy("key_", "block_", "chunk_")).applyInArrow(compare, "u long, v long")
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose signatures agree in as many components as those of similar documents do."""
+    least = _least(threshold)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, SIZE) for c in batch.columns[2:])
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array((a == b).sum(1) >= least))
+
+    right = pairs.join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
+    both = right.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u")
+    return both.select("u", "v", "a", "b").mapInArrow(tidied(run), "u long, v long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -170,18 +268,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
         for batch in batches:
             keep = []
-            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                keep.append(overlap(bag((u, len(a)), a) if u == v else bag(u, a), bag((v, len(b), 1), b) if u == v else bag(v, b)) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+            for k in range(batch.num_rows):
+                u, v, a, b = (c[k].as_py() for c in batch.columns)
+                keep.append(overlap(bag((u, len(a)), a), bag((v, len(b)), b)) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     right = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
     both = right.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(tidied(run), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, class_id (the smallest doc_id of its class)."""
     spark = df.sparkSession
+    small_batches(spark)
     signed = written(_signed(df, id_col, text_col), "minhash-signed")
     bags = signed.where("n > 0 and doc_id is not null")
     # Copies: the same multiset under the smallest id.
@@ -190,47 +290,59 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # One row for each distinct multiset, by its smallest id, and its place in every band.
     single = bags.join(first.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
     placed = single.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
-    groups = written(placed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "minhash-groups")
-    members = written(placed.join(groups, "key").select("key", "doc_id", "n", "band", "hub", "m"), "minhash-members")
+    groups = written(placed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "minhash-groups")
+    members = written(placed.join(groups, "key").select("key", "doc_id", "n", "band"), "minhash-members")
     wanted = written(members.select("doc_id").distinct(), "minhash-wanted")
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = written(rows.join(wanted, "doc_id", "left_semi"), "minhash-texts")
+    sketches = single.select("doc_id", "sketch")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     release(spark)
     roots = components(copies, "minhash-copies")
     labels = written(wanted.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("label")), "minhash-labels")
     links = copies
 
-    def fits(a, b):
-        return (F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9)
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("u", "v")).alias("id"))
 
     def learn(pairs: DataFrame) -> None:
         """Compares pairs and merges the classes of those that are similar."""
         nonlocal labels, links
-        good = written(_verified(written(pairs.distinct(), "minhash-pairs"), texts, threshold), "minhash-links")
+        pairs = written(pairs.distinct(), "minhash-pairs")
+        near = written(_plausible(pairs, narrowed(sketches, "doc_id", ends(pairs), "id"), threshold), "minhash-near")
+        good = written(_verified(near, narrowed(rows, "doc_id", ends(near), "id"), threshold).distinct(), "minhash-links")
+        release(spark)
         links = links.unionByName(good)
         a, b = (labels.select(F.col("doc_id").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
         merged = components(good.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")), "minhash-merge")
         labels = written(labels.join(merged, F.col("label") == F.col("node"), "left").select("doc_id", F.coalesce("root", "label").alias("label")), "minhash-labels")
         release(spark)
 
-    members = members.withColumn("at", F.col("band"))
+    placed = placed.select("doc_id", "n", "band", "key")
+    hubs = written(members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("h")).select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n")), "minhash-hubs")
+    starred = members.join(hubs, "key").where(F.col("doc_id") != F.col("hub"))
+    learn(starred.where(F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n") - 1e-9).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
+    members, turn = written(starred.select("key", "doc_id", "n", "band"), "minhash-members"), 0
     while True:
-        hubs = members.where("doc_id = hub").select("key", F.col("n").alias("hub_n")).groupBy("key").agg(F.min("hub_n").alias("least"), F.max("hub_n").alias("most"))
-        learn(members.join(hubs, "key").where((F.col("doc_id") != F.col("hub")) & (fits(F.col("n"), F.col("least")) | fits(F.col("n"), F.col("most")))).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-        named = members.join(labels, "doc_id")
-        mixed = written(named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("key"), "minhash-mixed")
-        open_ = written(named.join(mixed, "key"), "minhash-open")
-        few = open_.where(F.col("m") <= SMALL).where("doc_id <> hub")
+        named = written(members.join(labels, "doc_id").select("key", "doc_id", "n", "band", "label"), "minhash-named")
+        shares = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("m"))
+        mixed = written(shares.where("m > top.size").select("key", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.size")).alias("others")), "minhash-mixed")
+        if mixed.isEmpty():
+            break
+        named = written(named.join(mixed, "key"), "minhash-mixed-members")
+        few = named.where(F.col("m") <= SMALL)
         a = few.select("key", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
         b = few.select("key", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
-        learn(a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & fits(F.col("nu"), F.col("nv"))).select("u", "v"))
-        large = open_.where(F.col("m") > SMALL).select("key", "doc_id", "n", F.col("at").alias("last"))
-        # Cut large groups by each later band.
-        finer = large.join(placed.select("doc_id", F.col("band").alias("at"), F.col("key").alias("more")), "doc_id").where("at > last").select(F.xxhash64("key", "more").alias("key"), "doc_id", "n", "at").distinct()
-        groups = written(finer.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "minhash-finer")
-        if groups.isEmpty():
-            break
-        members = written(finer.join(groups, "key"), "minhash-members")
+        close = F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-9
+        pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & close).select("u", "v")
+        many = named.where(F.col("m") > SMALL)
+        divided = F.col("others") > DIVIDED
+        ids = many.where(~divided).select("doc_id").distinct()
+        known = written(narrowed(sketches, "doc_id", ids, "doc_id").join(_profiles(narrowed(rows, "doc_id", ids, "doc_id")), "doc_id"), "minhash-profiles")
+        learn(pairs.unionByName(_held_against(many.where(~divided), known, threshold, turn == 0)))
+        # What is left: large groups after their likeliest links, and parts of divided ones by each later band.
+        large = many.where(divided).select(F.col("key").alias("old"), "doc_id", F.col("band").alias("last"))
+        finer = large.join(placed.select("doc_id", "n", "band", F.col("key").alias("more")), "doc_id").where("band > last").select(F.xxhash64("old", "more").alias("key"), "doc_id", "n", "band")
+        whole = many.where(~divided if turn == 0 else F.lit(False)).select("key", "doc_id", "n", "band")
+        members, turn = written(whole.unionByName(finer), "minhash-members"), turn + 1
     roots = components(links, "minhash-classes")
     return signed.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 

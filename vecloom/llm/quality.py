@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import kernel
+from vecloom.llm.store import small_batches, tidied
 
 PASSAGE_WORDS = 64
 FIT_DOCS = 3000
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows.append(x[np.unique(np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int))].ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = F.broadcast(chosen)  # FIT_DOCS rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id")
     # A doc_id with several texts counts once for each; the order makes the fit repeatable, the limit keeps it bounded.
-    found = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<float>").orderBy("doc_id", "label", F.xxhash64("x")).limit(2 * FIT_DOCS).toArrow()
+    found = rows.select("doc_id", "text", "label").mapInArrow(tidied(run), "doc_id long, label int, x array<float>").orderBy("doc_id", "label", F.xxhash64("x")).limit(2 * FIT_DOCS).toArrow()
     y = np.array(found.column("label").to_pylist(), float)
     if len(set(y)) < 2:
         return None
@@ -204,7 +206,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             scores = model.score(texts) if model is not None else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -219,4 +221,4 @@ def reject_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
             keep = model.score(texts) >= 0.5 if model is not None else np.ones(len(texts), bool)
             yield batch.filter(pa.array(keep))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(tidied(run), docs.schema)

@@ -53,6 +53,39 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keeps Arrow batches of long texts small: a batch is held by the JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def tidy() -> None:
+    """At the end of a task: gives memory that its Python worker no longer needs back to the system, as the worker lives on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidied(run):
+    """run, a function from batches to batches, with tidy() after its last."""
+
+    def one(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return one
+
+
 def narrowed(df: DataFrame, col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
     """The rows of df that may have a wanted value: all that do and few others, told by a table of 2**22 bits.
 
