@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.store import written
+from vecloom.llm.store import dropped, written
 
 
 def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
@@ -21,7 +21,9 @@ def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return written(out.where("u > v").distinct(), f"{name}-star")
+    found = written(out.where("u > v").distinct(), f"{name}-star")
+    dropped(least)
+    return found
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -34,8 +36,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = _star(_star(edges, True, name), False, name)
-        after = state(edges)
+        large = _star(edges, True, name)
+        small = _star(large, False, name)
+        dropped(edges, large)
+        edges, after = small, state(small)
         if after == before:
             break
         before = after

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import kernel
 from vecloom.llm.graph import components
-from vecloom.llm.store import narrowed, release, small_batches, tidied, written
+from vecloom.llm.store import dropped, narrowed, release, small_batches, tidied, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -282,22 +282,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id, class_id (the smallest doc_id of its class)."""
     spark = df.sparkSession
     small_batches(spark)
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
     signed = written(_signed(df, id_col, text_col), "minhash-signed")
     bags = signed.where("n > 0 and doc_id is not null")
     # Copies: the same multiset under the smallest id.
-    first = written(bags.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "minhash-first")
+    first = kept(bags.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "minhash-first")
     copies = bags.join(first, ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     # One row for each distinct multiset, by its smallest id, and its place in every band.
     single = bags.join(first.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
     placed = single.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
-    groups = written(placed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "minhash-groups")
-    members = written(placed.join(groups, "key").select("key", "doc_id", "n", "band"), "minhash-members")
-    wanted = written(members.select("doc_id").distinct(), "minhash-wanted")
+    groups = kept(placed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "minhash-groups")
+    members = kept(placed.join(groups, "key").select("key", "doc_id", "n", "band"), "minhash-members")
+    wanted = kept(members.select("doc_id").distinct(), "minhash-wanted")
     sketches = single.select("doc_id", "sketch")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     release(spark)
     roots = components(copies, "minhash-copies")
-    labels = written(wanted.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("label")), "minhash-labels")
+    labels = kept(wanted.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("label")), "minhash-labels")
     links = copies
 
     def ends(pairs: DataFrame) -> DataFrame:
@@ -306,28 +312,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def learn(pairs: DataFrame) -> None:
         """Compares pairs and merges the classes of those that are similar."""
         nonlocal labels, links
-        pairs = written(pairs.distinct(), "minhash-pairs")
-        near = written(_plausible(pairs, narrowed(sketches, "doc_id", ends(pairs), "id"), threshold), "minhash-near")
-        good = written(_verified(near, narrowed(rows, "doc_id", ends(near), "id"), threshold).distinct(), "minhash-links")
+        pairs = kept(pairs.distinct(), "minhash-pairs")
+        near = kept(_plausible(pairs, narrowed(sketches, "doc_id", ends(pairs), "id"), threshold), "minhash-near")
+        good = kept(_verified(near, narrowed(rows, "doc_id", ends(near), "id"), threshold).distinct(), "minhash-links")
         release(spark)
         links = links.unionByName(good)
         a, b = (labels.select(F.col("doc_id").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
         merged = components(good.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")), "minhash-merge")
-        labels = written(labels.join(merged, F.col("label") == F.col("node"), "left").select("doc_id", F.coalesce("root", "label").alias("label")), "minhash-labels")
+        labels = kept(labels.join(merged, F.col("label") == F.col("node"), "left").select("doc_id", F.coalesce("root", "label").alias("label")), "minhash-labels")
         release(spark)
 
     placed = placed.select("doc_id", "n", "band", "key")
-    hubs = written(members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("h")).select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n")), "minhash-hubs")
+    hubs = kept(members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("h")).select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n")), "minhash-hubs")
     starred = members.join(hubs, "key").where(F.col("doc_id") != F.col("hub"))
     learn(starred.where(F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n") - 1e-9).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-    members, turn = written(starred.select("key", "doc_id", "n", "band"), "minhash-members"), 0
+    members, turn = kept(starred.select("key", "doc_id", "n", "band"), "minhash-members"), 0
     while True:
-        named = written(members.join(labels, "doc_id").select("key", "doc_id", "n", "band", "label"), "minhash-named")
+        named = kept(members.join(labels, "doc_id").select("key", "doc_id", "n", "band", "label"), "minhash-named")
         shares = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("m"))
-        mixed = written(shares.where("m > top.size").select("key", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.size")).alias("others")), "minhash-mixed")
+        mixed = kept(shares.where("m > top.size").select("key", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.size")).alias("others")), "minhash-mixed")
         if mixed.isEmpty():
             break
-        named = written(named.join(mixed, "key"), "minhash-mixed-members")
+        named = kept(named.join(mixed, "key"), "minhash-mixed-members")
         few = named.where(F.col("m") <= SMALL)
         a = few.select("key", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
         b = few.select("key", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
@@ -336,14 +342,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         many = named.where(F.col("m") > SMALL)
         divided = F.col("others") > DIVIDED
         ids = many.where(~divided).select("doc_id").distinct()
-        known = written(narrowed(sketches, "doc_id", ids, "doc_id").join(_profiles(narrowed(rows, "doc_id", ids, "doc_id")), "doc_id"), "minhash-profiles")
+        known = kept(narrowed(sketches, "doc_id", ids, "doc_id").join(_profiles(narrowed(rows, "doc_id", ids, "doc_id")), "doc_id"), "minhash-profiles")
         learn(pairs.unionByName(_held_against(many.where(~divided), known, threshold, turn == 0)))
         # What is left: large groups after their likeliest links, and parts of divided ones by each later band.
         large = many.where(divided).select(F.col("key").alias("old"), "doc_id", F.col("band").alias("last"))
         finer = large.join(placed.select("doc_id", "n", "band", F.col("key").alias("more")), "doc_id").where("band > last").select(F.xxhash64("old", "more").alias("key"), "doc_id", "n", "band")
         whole = many.where(~divided if turn == 0 else F.lit(False)).select("key", "doc_id", "n", "band")
-        members, turn = written(whole.unionByName(finer), "minhash-members"), turn + 1
+        members, turn = kept(whole.unionByName(finer), "minhash-members"), turn + 1
     roots = components(links, "minhash-classes")
+    dropped(*made)
     return signed.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
 
