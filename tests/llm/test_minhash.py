@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vecloom.llm import minhash
 
@@ -98,5 +99,19 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert sorted(((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect()), key=str) == classes(rows)
 
 
+def test_large_group_of_one_band_loses_no_link(spark, monkeypatch):
+    for name, value in (("SMALL", 3), ("DIVIDED", 12), ("BLOCK", 5)):
+        monkeypatch.setattr(minhash, name, value)
+    signed = minhash._signed
+    monkeypatch.setattr(minhash, "_signed", lambda *a: signed(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))  # the only band all share
+    rng = random.Random(6)
+    rows = []
+    for k in range(20):
+        words = [f"f{k}x{j}" for j in range(rng.randrange(40, 90))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-2] + ["a", "b"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect()), key=str) == classes(rows)
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []

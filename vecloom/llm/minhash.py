@@ -17,7 +17,8 @@ still hold several classes, every document outside the largest class is held
 against all of other classes: by pairs in groups of at most SMALL, else block by
 block on signatures, first for the likeliest link of each, then for all, so no
 link depends on a cap. Groups with over DIVIDED such documents are first cut by
-a further band, which pairs of THRESHOLD share again with the same probability.
+each later band and the likeliest links of the parts merged, which leaves fewer
+to hold against in full.
 Only pairs whose signatures agree as those of THRESHOLD do, less four standard
 deviations, are read and compared in full; within blocks, also only those that
 the counts of shingles in PROFILE slots, which bound the overlap from above,
@@ -326,29 +327,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = kept(members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("h")).select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n")), "minhash-hubs")
     starred = members.join(hubs, "key").where(F.col("doc_id") != F.col("hub"))
     learn(starred.where(F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n") - 1e-9).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-    members, turn = kept(starred.select("key", "doc_id", "n", "band"), "minhash-members"), 0
-    while True:
+    members = kept(starred.select("key", "doc_id", "n", "band"), "minhash-members")
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """The members of groups that hold several classes, with their label, the largest class, m and how many are outside it."""
         named = kept(members.join(labels, "doc_id").select("key", "doc_id", "n", "band", "label"), "minhash-named")
         shares = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("m"))
-        mixed = kept(shares.where("m > top.size").select("key", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.size")).alias("others")), "minhash-mixed")
-        if mixed.isEmpty():
-            break
-        named = kept(named.join(mixed, "key"), "minhash-mixed-members")
+        several = shares.where("m > top.size").select("key", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.size")).alias("others"))
+        return kept(named.join(several, "key"), "minhash-mixed-members")
+
+    def settle(named: DataFrame, likeliest: bool) -> None:
+        """Compares members of different classes: all in small groups, in others all or each with its likeliest."""
         few = named.where(F.col("m") <= SMALL)
         a = few.select("key", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
         b = few.select("key", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
         close = F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-9
         pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & close).select("u", "v")
         many = named.where(F.col("m") > SMALL)
-        divided = F.col("others") > DIVIDED
-        ids = many.where(~divided).select("doc_id").distinct()
+        ids = many.select("doc_id").distinct()
         known = kept(narrowed(sketches, "doc_id", ids, "doc_id").join(_profiles(narrowed(rows, "doc_id", ids, "doc_id")), "doc_id"), "minhash-profiles")
-        learn(pairs.unionByName(_held_against(many.where(~divided), known, threshold, turn == 0)))
-        # What is left: large groups after their likeliest links, and parts of divided ones by each later band.
-        large = many.where(divided).select(F.col("key").alias("old"), "doc_id", F.col("band").alias("last"))
-        finer = large.join(placed.select("doc_id", "n", "band", F.col("key").alias("more")), "doc_id").where("band > last").select(F.xxhash64("old", "more").alias("key"), "doc_id", "n", "band")
-        whole = many.where(~divided if turn == 0 else F.lit(False)).select("key", "doc_id", "n", "band")
-        members, turn = kept(whole.unionByName(finer), "minhash-members"), turn + 1
+        learn(pairs.unionByName(_held_against(many, known, threshold, likeliest)))
+
+    named = mixed(members)
+    large = named.where(F.col("others") > DIVIDED)
+    if not large.isEmpty():
+        # Merges only: the groups themselves are compared below whatever their parts by each later band gave.
+        large = large.select(F.col("key").alias("old"), "doc_id", F.col("band").alias("last"))
+        finer = large.join(placed, "doc_id").where("band > last").select(F.xxhash64("old", "key").alias("key"), "doc_id", "n", "band")
+        settle(mixed(finer).where(F.col("others") <= DIVIDED), True)
+        named = mixed(members)
+    for likeliest in (True, False):
+        if named.isEmpty():
+            break
+        settle(named, likeliest)
+        if likeliest:
+            named = mixed(named.where(F.col("m") > SMALL).select("key", "doc_id", "n", "band"))
     roots = components(links, "minhash-classes")
     dropped(*made)
     return signed.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
