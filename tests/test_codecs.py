@@ -100,3 +100,13 @@ def test_vector_functions(spark):
     assert Metric.parse(" L2 ") is Metric.L2 and not Metric.L2.higher_is_better
     with pytest.raises(VectorError):
         Metric.parse("hamming")
+
+
+@pytest.mark.parametrize("name", ["pq8", "mrl32+binary-centred", "mrl32+pq4", "mixed8", "mixed8-w", "mrl32+mixed4"])
+def test_fit_takes_every_vector(spark, monkeypatch, name):
+    monkeypatch.setattr(codecs, "FIT_VECTORS", 50)
+    x = corpus(600, 64, seed=3).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got, want = codecs.fit_codec(name, df, 64), codec_by_name(name, 64).fit(x)
+    assert len(got.params()) == len(want.params())
+    assert np.allclose(got.decode(got.encode(x)), want.decode(want.encode(x)), atol=1e-5)

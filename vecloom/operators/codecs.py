@@ -19,12 +19,13 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import Metric, VectorError, matrix, score_blocks
 
-#: Vectors that a trained codec is fitted on, at most, evenly spread over the collection (C14).
+#: Vectors that a rotated mixed codec is fitted on, at most, evenly spread over the collection (C14).
 FIT_VECTORS = 20_000
 #: Max's (1960) step sizes of uniform quantisers of a unit normal, for 1 to 8 bits.
 STEPS = (1.596, 0.9957, 0.5860, 0.3352, 0.1881, 0.1041, 0.0569, 0.0308)
@@ -50,6 +51,10 @@ class Codec:
     def fit(self, sample: np.ndarray) -> "Codec":
         return self
 
+    def fit_frame(self, df: DataFrame, vector_col: str, id_col: str) -> "Codec":
+        """fit() over a whole collection."""
+        return self
+
     def params(self) -> bytes:
         return b""
 
@@ -219,7 +224,7 @@ class BinaryCentred(Binary):
             raise VectorError("nothing to fit on")
         return self._set(sample.mean(0).astype(np.float32), np.float32(np.abs(sample - sample.mean(0).astype(np.float32)).mean()))
 
-    def fit_frame(self, df: DataFrame, vector_col: str) -> "BinaryCentred":
+    def fit_frame(self, df: DataFrame, vector_col: str, id_col: str = "vec_id") -> "BinaryCentred":
         """The fit over a whole collection, as aggregates; one row of numbers comes to the driver."""
         rows = df.select(F.posexplode(vector_col).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).cast("float").alias("m"))
         mean = np.array([r["m"] for r in rows.orderBy("i").collect()], np.float32)
@@ -313,6 +318,43 @@ class PQ(Codec):
         self.centroids = np.stack([self.cluster(p) for p in self.parts(sample)])
         return self
 
+    def fit_frame(self, df: DataFrame, vector_col: str, id_col: str) -> "PQ":
+        """The same rounds over a whole collection in the order of id_col: each sums the vectors of every centroid, and
+        the driver gets a row a centroid."""
+        from vecloom.operators.retrieval import even_sample
+
+        rows = df.select(id_col, vector_col)
+        starts = matrix(even_sample(rows, 256, id_col).orderBy(id_col).toArrow().column(vector_col))
+        if not len(starts):
+            raise VectorError("nothing to fit on")
+        centroids = np.stack(list(self.parts(self.check(starts).astype(np.float32))))
+        sub, k = self.dim // self.m, len(starts)
+        names = [f"s{i}" for i in range(sub)]
+
+        def run(batches, centroids):
+            count, sums = np.zeros(self.m * k, np.int64), np.zeros((self.m * k, sub))
+            for batch in batches:
+                if batch.num_rows:
+                    x = self.check(matrix(batch.column(0))).astype(np.float32)
+                    for j, part in enumerate(self.parts(x)):
+                        at = j * k + self.nearest(part, centroids[j])
+                        count += np.bincount(at, minlength=self.m * k)
+                        np.add.at(sums, at, part.astype(np.float64))
+            full = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(count[full]), *[pa.array(c) for c in sums[full].T]], names=["at", "n", *names])
+
+        for _ in range(self.rounds):
+            part = df.select(vector_col).mapInArrow(lambda batches, c=centroids: run(batches, c), "at long, n long, " + ", ".join(f"{c} double" for c in names))
+            t = part.groupBy("at").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).toArrow()
+            moved = centroids.reshape(-1, sub).copy()
+            moved[t.column("at").to_numpy()] = np.stack([t.column(c).to_numpy() for c in names], 1) / t.column("n").to_numpy()[:, None]
+            moved = moved.reshape(centroids.shape)
+            if (moved == centroids).all():
+                break
+            centroids = moved
+        self.centroids = centroids
+        return self
+
     def params(self):
         self.ready()
         return struct.pack("<3I", *self.centroids.shape) + self.centroids.astype("<f4").tobytes()
@@ -357,6 +399,10 @@ class Truncated(Codec):
         self.inner.fit(self.check(sample)[:, : self.k])
         return self
 
+    def fit_frame(self, df: DataFrame, vector_col: str, id_col: str) -> "Truncated":
+        self.inner.fit_frame(df.select(id_col, F.slice(vector_col, 1, self.k).alias(vector_col)), vector_col, id_col)
+        return self
+
     def params(self):
         return self.inner.params()
 
@@ -427,6 +473,20 @@ class Mixed(Codec):
             x = x @ self.rotation.T.astype(np.float64)
         return self.set_moments(x.mean(0), x.var(0))
 
+    def fit_frame(self, df: DataFrame, vector_col: str, id_col: str) -> "Mixed":
+        """Moments of the whole collection as aggregates; with a rotation, a fit on FIT_VECTORS vectors at most."""
+        if self.pca:
+            from vecloom.operators.retrieval import even_sample
+
+            return self.fit(matrix(even_sample(df.select(id_col, vector_col), FIT_VECTORS, id_col).orderBy(id_col).toArrow().column(vector_col)))
+        x = F.col("x").cast("double")
+        rows = df.select(F.posexplode(vector_col).alias("i", "x")).groupBy("i").agg(F.avg(x).alias("mean"), F.var_pop(x).alias("variance")).orderBy("i").collect()
+        if not rows:
+            raise VectorError("nothing to fit on")
+        if len(rows) != self.dim:
+            raise VectorError(f"{self.name}: {len(rows)} dimensions where {self.dim} are due")
+        return self.set_moments([r["mean"] for r in rows], [r["variance"] for r in rows])
+
     def set_moments(self, mean, variance):
         """Parameters from the mean and population variance of every (rotated) dimension."""
         mean, variance = np.asarray(mean, float), np.asarray(variance, float)
@@ -533,13 +593,6 @@ def codec_with_params(name: str, dim: int, params: bytes) -> Codec:
 
 
 def fit_codec(name: str, collection: DataFrame, dim: int, id_col: str = "vec_id", vector_col: str = "embedding") -> Codec:
-    """A codec fitted on FIT_VECTORS vectors at most, evenly spread over the collection."""
+    """A codec fitted on the whole collection, but for rotated mixed codecs (FIT_VECTORS vectors at most, evenly spread)."""
     codec = codec_by_name(name, dim)
-    if not codec.trained:
-        return codec
-    if isinstance(codec, BinaryCentred):
-        return codec.fit_frame(collection, vector_col)
-    from vecloom.operators.retrieval import even_sample
-
-    rows = even_sample(collection.select(id_col, vector_col), FIT_VECTORS, id_col).orderBy(id_col).toArrow()
-    return codec.fit(matrix(rows.column(vector_col)))
+    return codec.fit_frame(collection, vector_col, id_col) if codec.trained else codec
