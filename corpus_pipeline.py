@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import bpe, decontam, lines, minhash, quality
-from vecloom.llm.store import release, written
+from vecloom.llm.store import dropped, written
 from vecloom.session import table
 
 
@@ -57,6 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release(spark)
+        done = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
