@@ -15,15 +15,13 @@ from vecloom.llm.store import dropped, written
 def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
     """edges(u, v) with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{name}-least")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    found = written(out.where("u > v").distinct(), f"{name}-star")
-    dropped(least)
-    return found
+    return written(out.where("u > v").distinct(), f"{name}-star")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import kernel
-from vecloom.llm.store import buckets_for, pack_groups, release, squeeze, text_bytes, unsqueeze, written
+from vecloom.llm.store import buckets_for, pack_groups, squeeze, text_bytes, unsqueeze, written
 
 K = 5
 HOT_CONTEXTS = 100_000
@@ -294,7 +294,6 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     asked = groups.mapInArrow(send_words, "bucket int, gid long, blob binary")
     words = written(asked.groupBy("bucket").applyInArrow(_count_words, _SLICE), "katz-words")
-    release(spark)
     parts = _gather(words, STATS)
     stats = {"V": sum(p[0] for p in parts), "N": sum(p[1] for p in parts), "words": sum((p[2] for p in parts), np.zeros(K + 1, np.int64)), "D": sum(p[3] for p in parts)}
     hot = max(HOT_COUNT, stats["N"] // HOT_CONTEXTS)
@@ -320,7 +319,6 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     word_slices = words.where(F.col("kind") == WORDS)
     asked = groups.groupBy("gid").cogroup(word_slices.groupBy("gid")).applyInArrow(send_pairs, "bucket int, gid long, blob binary")
     pairs = written(asked.groupBy("bucket").applyInArrow(_count_pairs, _SLICE), "katz-pairs")
-    release(spark)
     stats["pairs"] = sum(_gather(pairs, STATS), np.zeros(K + 1, np.int64))
     stats["unknown"] = 1 - (stats["N"] - ((1 - discounts(stats["words"])) * np.arange(1, K + 1) * stats["words"][:K]).sum()) / (stats["N"] + 1)
     hot_parts = _gather(pairs, HOT)

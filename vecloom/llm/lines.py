@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.graph import components
-from vecloom.llm.store import narrowed, release, written
+from vecloom.llm.store import narrowed, written
 
 THRESHOLD = 2
 MIN_CHARS = 24
@@ -134,11 +134,9 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines_of(df, id_col, text_col).where(F.expr("trim(line) <> ''"))
     counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(F.expr(_ID).alias("id"), "line", "copies", F.length("line").alias("n"))
     distinct = written(counted.withColumn("own", F.expr(f"if(n >= {min_chars}, array({', '.join(_keys(tau, 0, False))}), null)")), "lines-distinct")
-    release(spark)
     long = distinct.where(F.col("n") >= min_chars)
     own_keys = F.explode("own").alias("key")
     crowded = written(long.select(own_keys).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "lines-crowded")
-    release(spark)
     crowd = written(narrowed(long.select("id", own_keys), "key", crowded, "key").join(crowded, "key").select("id").distinct(), "lines-crowd")
     marked = _maybe(long, crowd).withColumn("sign", F.expr(f"if(held, {parities()}, null)"))
     own = marked.select("id", "sign", own_keys)
@@ -148,11 +146,9 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = f"coalesce(bit_count(o.sign ^ p.sign) <= {4 * tau}, true)"
     met = own.alias("o").join(probe.alias("p"), "key").where(f"o.id <> (p.code & -2L) and ((p.code & 1L) = 0 or o.id < (p.code & -2L)) and {alike}")
     pairs = written(met.select(F.col("o.id").alias("u"), F.expr("p.code & -2L").alias("v")).distinct(), "lines-pairs")
-    release(spark)
     texts = _maybe(long, pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))).where("held").select("id", "line")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
     links = written(close_pairs(both, tau), "lines-links")
-    release(spark)
     roots = components(links, "lines-classes")
     degree = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     again = distinct.where("copies > 1").select("id").unionByName(degree.select("id")).distinct()

@@ -24,10 +24,16 @@ deviations, are read and compared in full; within blocks, also only those that
 the counts of shingles in PROFILE slots, which bound the overlap from above,
 leave possible.
 
+Scale: a document's places in bands stay in one row with its id, so labels,
+signatures and profiles are joined once a document, however many groups it is
+in; only rows of ids are dealt by group. Groups are counted by partial sums.
+
 Defined results: words are runs of bytes other than space and 0x09-0x0D; null,
 empty and blank texts are never duplicates; rows with equal doc_id are one
 document; a null doc_id is in no class (null class_id). class_id is the
-smallest doc_id of the class.
+smallest doc_id of the class. An empty table gives no rows. Texts of any length
+are read whole, one at a time beyond 3 MB. Other columns, whatever their names,
+are not looked at and come back unchanged from one_of_each().
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import kernel
 from vecloom.llm.graph import components
-from vecloom.llm.store import dropped, narrowed, release, small_batches, tidied, written
+from vecloom.llm.store import dropped, narrowed, small_batches, tidied, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -194,11 +200,11 @@ def _possible(a: np.ndarray, b: np.ndarray, na: int, nb: np.ndarray, threshold:
     return full.any(1) | (most * (1 + threshold) >= threshold * (na + nb) - 1e-6)
 
 
-def _held_against(named: DataFrame, sketches: DataFrame, threshold: float, likeliest: bool) -> DataFrame:
+def _held_against(docs: DataFrame, threshold: float, likeliest: bool) -> DataFrame:
     """(u, v) of documents of a group in different classes, one outside its largest, that may be similar by signature
     and profile.
 
-    named(key, doc_id, n, label, main, m, others), sketches(doc_id, sketch, profile); likeliest: for each document
+    docs(doc_id, n, label, sketch, profile, places of key, m, others and outside); likeliest: for each document
     outside, the best in each block alone.
     """
     least = _least(threshold)
@@ -231,8 +237,8 @@ def _held_against(named: DataFrame, sketches: DataFrame, threshold: float, likel
     def every(n):
         return F.explode(F.sequence(F.lit(0), parts(n) - 1))
 
-    rows = named.join(sketches, "doc_id")
-    outside = rows.where("label <> main").withColumn("chunk", share("others")).withColumn("block", every("m")).select("key", "block", "chunk", "doc_id", "n", "label", "sketch", "profile")
+    rows = docs.select("doc_id", "n", "label", "sketch", "profile", F.inline("places"))
+    outside = rows.where("outside").withColumn("chunk", share("others")).withColumn("block", every("m")).select("key", "block", "chunk", "doc_id", "n", "label", "sketch", "profile")
     inside = rows.withColumn("block", share("m")).withColumn("chunk", every("others"))
     inside = inside.select(*[F.col(c).alias(f"{c}_") for c in ("key", "block", "chunk")], *[F.col(c).alias(c) for c in ("doc_id", "n", "label", "sketch", "profile")])
     return outside.groupBy("key", "block", "chunk").cogroup(inside.groupBy("key_", "block_", "chunk_")).applyInArrow(compare, "u long, v long")
@@ -291,77 +297,83 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     signed = written(_signed(df, id_col, text_col), "minhash-signed")
     bags = signed.where("n > 0 and doc_id is not null")
-    # Copies: the same multiset under the smallest id.
-    first = kept(bags.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "minhash-first")
-    copies = bags.join(first, ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    # One row for each distinct multiset, by its smallest id, and its place in every band.
-    single = bags.join(first.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
-    placed = single.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
-    groups = kept(placed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "minhash-groups")
-    members = kept(placed.join(groups, "key").select("key", "doc_id", "n", "band"), "minhash-members")
-    wanted = kept(members.select("doc_id").distinct(), "minhash-wanted")
+    # One row for each distinct multiset, by its smallest id; its copies are linked to that.
+    single = kept(bags.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("s")).select("k1", "k2", "s.*"), "minhash-single")
+    copies = kept(bags.join(single.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "minhash-copies")
     sketches = single.select("doc_id", "sketch")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    release(spark)
-    roots = components(copies, "minhash-copies")
-    labels = kept(wanted.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("label")), "minhash-labels")
-    links = copies
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("u", "v")).alias("id"))
 
+    labels: DataFrame | None = None
+
     def learn(pairs: DataFrame) -> None:
-        """Compares pairs and merges the classes of those that are similar."""
-        nonlocal labels, links
+        """Compares pairs and merges the classes of those that are similar: labels has the class of each document in one of several."""
+        nonlocal labels
         pairs = kept(pairs.distinct(), "minhash-pairs")
         near = kept(_plausible(pairs, narrowed(sketches, "doc_id", ends(pairs), "id"), threshold), "minhash-near")
-        good = kept(_verified(near, narrowed(rows, "doc_id", ends(near), "id"), threshold).distinct(), "minhash-links")
-        release(spark)
-        links = links.unionByName(good)
-        a, b = (labels.select(F.col("doc_id").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
-        merged = components(good.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")), "minhash-merge")
-        labels = kept(labels.join(merged, F.col("label") == F.col("node"), "left").select("doc_id", F.coalesce("root", "label").alias("label")), "minhash-labels")
-        release(spark)
-
-    placed = placed.select("doc_id", "n", "band", "key")
-    hubs = kept(members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("h")).select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n")), "minhash-hubs")
-    starred = members.join(hubs, "key").where(F.col("doc_id") != F.col("hub"))
-    learn(starred.where(F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n") - 1e-9).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-    members = kept(starred.select("key", "doc_id", "n", "band"), "minhash-members")
-
-    def mixed(members: DataFrame) -> DataFrame:
-        """The members of groups that hold several classes, with their label, the largest class, m and how many are outside it."""
-        named = kept(members.join(labels, "doc_id").select("key", "doc_id", "n", "band", "label"), "minhash-named")
-        shares = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("m"))
-        several = shares.where("m > top.size").select("key", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.size")).alias("others"))
-        return kept(named.join(several, "key"), "minhash-mixed-members")
-
-    def settle(named: DataFrame, likeliest: bool) -> None:
-        """Compares members of different classes: all in small groups, in others all or each with its likeliest."""
-        few = named.where(F.col("m") <= SMALL)
+        links = _verified(near, narrowed(rows, "doc_id", ends(near), "id"), threshold)
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
+        labels = kept(components(links, "minhash-merge").select(F.col("node").alias("doc_id"), F.col("root").alias("label")), "minhash-labels")
+
+    def labelled(docs: DataFrame) -> DataFrame:
+        return docs.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+    placed = single.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
+    hubs = kept(placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "n")).alias("h")).where("m > 1").select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n")), "minhash-hubs")
+    met = narrowed(placed, "key", hubs, "key").join(hubs, "key").where(F.col("doc_id") != F.col("hub"))
+    # From here on a row a document, with its places in groups.
+    members = kept(met.groupBy("doc_id", "n").agg(F.collect_list(F.struct("key", "band", "hub", "hub_n")).alias("places")), "minhash-members")
+    starred = members.select("doc_id", "n", F.inline("places")).where(F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n") - 1e-9)
+    learn(starred.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
+
+    def mixed(docs: DataFrame) -> DataFrame:
+        """docs(doc_id, n, places of key and band), with labels, in those groups alone that hold several classes; for each
+        place the members of its group, how many are outside the largest class, and whether the document is."""
+        places = labelled(docs).select("doc_id", "n", "label", F.inline("places")).select("doc_id", "n", "label", "key", "band")
+        shares = places.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("m"))
+        several = kept(shares.where("m > top.size").select("key", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.size")).alias("others")), "minhash-several")
+        found = narrowed(places, "key", several, "key").join(several, "key")
+        place = F.struct("key", "band", "m", "others", (F.col("label") != F.col("main")).alias("outside"))
+        return kept(found.groupBy("doc_id", "n", "label").agg(F.collect_list(place).alias("places")), "minhash-mixed")
+
+    def only(docs: DataFrame, test) -> DataFrame:
+        """docs with the places that pass, if any do."""
+        return docs.withColumn("places", F.filter("places", test)).where(F.size("places") > 0)
+
+    def settle(docs: DataFrame, known: DataFrame, likeliest: bool) -> DataFrame:
+        """Members of different classes to be compared: all in small groups, in others all or each with its likeliest."""
+        few = only(docs, lambda p: p["m"] <= SMALL).select("doc_id", "n", "label", F.inline("places"))
         a = few.select("key", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
         b = few.select("key", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
         close = F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-9
         pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & close).select("u", "v")
-        many = named.where(F.col("m") > SMALL)
-        ids = many.select("doc_id").distinct()
-        known = kept(narrowed(sketches, "doc_id", ids, "doc_id").join(_profiles(narrowed(rows, "doc_id", ids, "doc_id")), "doc_id"), "minhash-profiles")
-        learn(pairs.unionByName(_held_against(many, known, threshold, likeliest)))
+        return pairs.unionByName(_held_against(only(docs, lambda p: p["m"] > SMALL).join(known, "doc_id"), threshold, likeliest))
+
+    def profiled(docs: DataFrame) -> DataFrame:
+        """Signatures and profiles of documents in groups of more than SMALL."""
+        ids = only(docs, lambda p: p["m"] > SMALL).select("doc_id").distinct()
+        return kept(narrowed(sketches, "doc_id", ids, "doc_id").join(_profiles(narrowed(rows, "doc_id", ids, "doc_id")), "doc_id"), "minhash-profiles")
 
     named = mixed(members)
-    large = named.where(F.col("others") > DIVIDED)
-    if not large.isEmpty():
-        # Merges only: the groups themselves are compared below whatever their parts by each later band gave.
-        large = large.select(F.col("key").alias("old"), "doc_id", F.col("band").alias("last"))
-        finer = large.join(placed, "doc_id").where("band > last").select(F.xxhash64("old", "key").alias("key"), "doc_id", "n", "band")
-        settle(mixed(finer).where(F.col("others") <= DIVIDED), True)
-        named = mixed(members)
-    for likeliest in (True, False):
-        if named.isEmpty():
-            break
-        settle(named, likeliest)
-        if likeliest:
-            named = mixed(named.where(F.col("m") > SMALL).select("key", "doc_id", "n", "band"))
+    if not named.isEmpty():
+        known = profiled(named)
+        large = only(named, lambda p: p["others"] > DIVIDED)
+        if not large.isEmpty():
+            # Merges only: the groups themselves are compared below whatever their parts by each later band gave.
+            bands = single.select("doc_id", "n", "bands")
+            cut = F.flatten(F.transform("places", lambda p: F.transform(F.slice("bands", p["band"] + 2, BANDS), lambda k: F.struct(F.xxhash64(p["key"], k).alias("key"), p["band"].alias("band")))))
+            finer = large.select("doc_id", "n", "places").join(bands, ["doc_id", "n"]).select("doc_id", "n", cut.alias("places"))
+            learn(settle(only(mixed(finer), lambda p: p["others"] <= DIVIDED), known, True))
+            named = mixed(members)
+        learn(settle(named, known, True))
+        many = only(named, lambda p: p["m"] > SMALL)
+        if not many.isEmpty():
+            # Places keep what was outside before; compared are only those whose classes still differ.
+            learn(settle(labelled(many.drop("label")), known, False))
+    links = copies.unionByName(labels.select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
     roots = components(links, "minhash-classes")
     dropped(*made)
     return signed.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
@@ -373,7 +385,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     Rows that share the id of such a document stay, as do rows with a null id.
     """
     classes = near_duplicates(df.select(id_col, text_col), id_col, text_col, threshold)
-    gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "minhash-gone")
+    gone = written(classes.where("doc_id <> class_id").select("doc_id").distinct(), "minhash-gone")
     named = df.where(F.col(id_col).isNotNull())
-    kept = named.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    kept = named.join(gone, df[id_col].cast("long") == gone["doc_id"], "left_anti")
     return kept.unionByName(df.where(F.col(id_col).isNull()))

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import gc
 import pickle
-import tempfile
-import time
 import uuid
 
 import zstandard
@@ -24,13 +22,21 @@ BUCKET_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder (own temporary one only where none is set)."""
+    """A fresh folder in the shared checkpoint folder; a local session without one gets a temporary one, any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
         base = f"file://{tempfile.gettempdir()}/vecloom-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the job that made them ends, not when the JVM happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: cuts lineage without local checkpoints."""
     spark = df.sparkSession
@@ -38,7 +44,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._vecloom_path = path
     return out
@@ -53,17 +64,6 @@ def dropped(*frames: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs that nothing refers to any more.
-
-    What Python lets go of reaches the JVM a moment later, hence the second time.
-    """
-    gc.collect()
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keeps Arrow batches of long texts small: a batch is held by the JVM and by Python at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
