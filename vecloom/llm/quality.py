@@ -6,15 +6,17 @@ ratios, then by a small tanh layer; gated attention (tanh times sigmoid) weighs
 the passages, and a logistic unit scores the weighted sum. Weights are learned
 by Adam from document labels alone.
 
-Fit sample (documented bound): the FIT_DOCS labelled rows, held-out rows left
-out, with the smallest hash of doc_id; of each, at most FIT_PASSAGES passages
-evenly spread over the whole text. Everything is trained in the driver from
-that bounded sample; scoring is one pass over the scan with the weights sent
-along (a few hundred KB), and covers every passage.
+Fit sample (documented bound): the FIT_DOCS labelled doc_ids, held-out ones left
+out, with the smallest hash, and of each the text with the smallest hash. Every
+passage of those texts is learned from, in the driver; scoring is one pass over
+the scan with the weights sent along (a few hundred KB), and covers every
+passage.
 
 Defined results: null and empty texts are bags of one passage with no words and
 score by the model as such; rows are scored one by one, so repeated rows and
-null ids are fine; without any usable label every score is 0.5.
+null ids are fine; without any usable label every score is 0.5. An empty table
+gives no rows; very long texts are scored whole; other columns, whatever their
+names, are not looked at and come back unchanged from reject_low_quality().
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from vecloom.llm.store import small_batches, tidied
 
 PASSAGE_WORDS = 64
 FIT_DOCS = 3000
-FIT_PASSAGES = 16
 HASHED = 192
 RATIOS = 10
 WIDTH = HASHED + RATIOS
@@ -171,10 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                x = encode((text.as_py() or "").encode())
-                rows.append(x[np.unique(np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int))].ravel())
+            rows = [encode((text.as_py() or "").encode()).ravel() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
     small_batches(docs.sparkSession)
@@ -186,12 +184,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     chosen = F.broadcast(chosen)  # FIT_DOCS rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id")
-    # A doc_id with several texts counts once for each; the order makes the fit repeatable, the limit keeps it bounded.
-    found = rows.select("doc_id", "text", "label").mapInArrow(tidied(run), "doc_id long, label int, x array<float>").orderBy("doc_id", "label", F.xxhash64("x")).limit(2 * FIT_DOCS).toArrow()
+    # One text of each doc_id, so none is crowded out by repeats of another.
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = rows.select("doc_id", "text", "label").mapInArrow(tidied(run), "doc_id long, label int, x array<float>").toArrow().sort_by("doc_id")
     y = np.array(found.column("label").to_pylist(), float)
     if len(set(y)) < 2:
         return None
     bags = [np.asarray(x.values, np.float32).reshape(-1, WIDTH) for x in found.column("x")]
+    del found
     rng = np.random.default_rng(SEED)
     return Model(rng).fit(bags, y, rng)
 
