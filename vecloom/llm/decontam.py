@@ -12,17 +12,19 @@ than the passage's vector counts as of its length, as it lacks the rest). A cand
 leak if a stretch of text about as long as the item (a quarter more) has a
 longest common subsequence with it of at least SURE of the item, or at least
 LIKELY of it with the answer (the item's last fifth) in that stretch. Items of
-fewer than SHORT words must be there in full.
+fewer than SHORT words must be there in full, those of fewer than SEQUENCE word
+after word: too short for a vector to tell, they are looked up exactly.
 
 Scale: one pass counts, one pass searches; neither shuffles a text. Only
 benchmark blocks of BLOCK passages and their spaces are sent to the executors,
 whatever the size of the benchmark, which is taken block by block.
 
 Defined results: words are runs of letters, digits and non-ASCII characters in
-lower case; null and empty texts never match; items with fewer than MIN_WORDS
-words or a null id are not searched; rows are judged one by one, so repeated
-rows and null doc_ids are fine; rows sharing an item_id are separate texts of
-one item.
+lower case; null and empty texts never match, nor do items without a word or with
+a null id; rows are judged one by one, so repeated rows and null doc_ids are
+fine; rows sharing an item_id are separate texts of one item. An empty corpus or
+benchmark gives no leaks; texts of any length are searched whole; other columns,
+whatever their names, come back unchanged from without_leaks().
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ RANK = 160
 HELD = 0.6
 COSINE = 0.35
 SURE, LIKELY, ANSWER = 0.8, 0.65, 0.8
-MIN_WORDS, SHORT = 5, 8
+SEQUENCE, SHORT = 5, 8
 COMMON = 0.2  # words in more documents than this share carry no weight, unless their passage has few others
 FEW = 4
 SEED = 5
@@ -213,8 +215,12 @@ def latent_space(table: DataFrame, features: int, rank: int = RANK, power: int =
 class Searcher:
     """One block of the benchmark, ready to be held against texts."""
 
-    def __init__(self, items, passages, lookup, weight, spaces):
+    def __init__(self, items, passages, lookup, weight, spaces, exact=()):
         self.passages, self.lookup = passages, lookup
+        #: Short items by length, then by the hash of their words.
+        self.exact: dict[int, dict[int, list]] = {}
+        for i, w in exact:
+            self.exact.setdefault(len(w), {}).setdefault(int(kernel.ngram_hashes(w, len(w))[0]), []).append((i, w))
         self.items = [Item(i, lookup(w), len(lookup.table)) for i, w in items]
         self.weighted = weight > 0
         self.spaces = [(v * weight[:, None]).astype(np.float32) for v, _ in spaces]
@@ -235,6 +241,9 @@ class Searcher:
         words, of = words_of(texts)
         if not len(words):
             return []
+        short = self._sequences(words, of)
+        if not self.passages:
+            return [(d, i, 1.0, 1.0) for d, i in short]
         sizes = np.bincount(of, minlength=len(texts))
         first = np.cumsum(sizes) - sizes
         chunks = -(-sizes // CHUNK)
@@ -277,8 +286,20 @@ class Searcher:
             text = at[first[d] : first[d] + sizes[d]][max(0, start - item.n) : start + length + item.n]
             if share := item.found_share(text):
                 best[d, item.id] = (share, cosine)
+        for d, i in short:
+            best[d, i] = max(best.get((d, i), (0, 0)), (1.0, 1.0))
         return [(d, i, *x) for (d, i), x in best.items()]
 
+    def _sequences(self, words: np.ndarray, of: np.ndarray) -> set:
+        """(text, item) of every short item that is in a text word after word."""
+        found = set()
+        for n, items in self.exact.items():
+            grams = kernel.ngram_hashes(words, n)
+            for at in np.flatnonzero(np.isin(grams, np.fromiter(items, np.uint64, len(items)))).tolist():
+                if of[at] == of[at + n - 1]:
+                    found.update((int(of[at]), i) for i, w in items[int(grams[at])] if np.array_equal(w, words[at : at + n]))
+        return found
+
 
 def searchers(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"):
     """A Searcher for each block of the benchmark."""
@@ -291,12 +312,15 @@ def searchers(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block).orderBy("id", "text").collect()
         hashes, of = words_of([r["text"] for r in rows])
         held = [(r["id"], hashes[of == k]) for k, r in enumerate(rows)]
-        held = [(i, w) for i, w in held if len(w) >= MIN_WORDS]
+        exact = [(i, w) for i, w in held if 0 < len(w) < SEQUENCE]
+        held = [(i, w) for i, w in held if len(w) >= SEQUENCE]
         passages = []
         for k, (_, w) in enumerate(held):
             n = -(-len(w) // PASSAGE)
             passages += [(k, part) for part in np.array_split(w, n)]
         if not passages:
+            if exact:
+                yield Searcher([], [], Lookup(np.empty(0, np.uint64)), np.empty(0), [], exact)
             continue
         lookup = Lookup(np.unique(np.concatenate([p for _, p in passages])))
         n_docs, df = _counts(docs, text_col, lookup)
@@ -307,7 +331,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
             if rare[at].sum() < FEW:
                 rare[at] = True
         weight = np.where(rare, np.maximum(weight, 1e-3), 0.0)
-        yield Searcher(held, passages, lookup, weight, _spaces(spark, passages, lookup, weight))
+        yield Searcher(held, passages, lookup, weight, _spaces(spark, passages, lookup, weight), exact)
 
 
 def _spaces(spark, passages, lookup, weight):
@@ -354,7 +378,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     """The rows of docs in which no benchmark item is found, columns unchanged. No join, no shuffle."""
     spark, kind = docs.sparkSession, docs.schema
     whole, at_text = docs, docs.columns.index(text_col)
-    for searcher in list(searchers(docs, benchmark, text_col)):
+    for searcher in searchers(whole, benchmark, text_col):
 
         def run(batches, searcher=spark.sparkContext.broadcast(searcher)):
             for batch in batches:
