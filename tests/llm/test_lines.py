@@ -39,9 +39,9 @@ def test_edit_distance(spark, tau):
     assert {r.u for r in lines.close_pairs(df, tau).collect()} == {u for u, _, a, b in rows if lev(a, b) <= tau}
 
 
-def docs_of(seed, tau, min_chars):
+def docs_of(seed, tau, per):
     rng = random.Random(seed)
-    pool = ["".join(rng.choice("abcd é😀") for _ in range(rng.choice([3, min_chars - 2, min_chars, min_chars + 1, 40, 90]))) for _ in range(40)]
+    pool = ["".join(rng.choice("abcd é😀") for _ in range(rng.choice([3, per - 2, per, per + 1, 2 * per - 1, 2 * per, 2 * per + 1, 40, 90]))) for _ in range(40)]
     rows = [(5, None), (6, ""), (7, "\n \n\t"), (None, pool[0] + "\n" + pool[1]), (None, "only here, under no id at all\nonly here, under no id at all"), (8, pool[2] + "\n" + pool[2]), (8, pool[2] + "\n" + pool[2]), (9, "z" * 30000), (10, "z" * 30001 + "\r")]
     for k in range(20, 70):
         rows.append((k, "\n".join(edited(rng, rng.choice(pool), rng.choice([0, 0, 1, 2, 3, 4]), "abx") for _ in range(rng.randrange(1, 6)))))
@@ -49,7 +49,7 @@ def docs_of(seed, tau, min_chars):
     return rows
 
 
-def brute(rows, tau, min_chars):
+def brute(rows, tau, per):
     texts = sorted({x for _, t in rows for x in (t or "").split("\n") if t and x.strip(" ")})
     root = {x: x for x in texts}
 
@@ -61,7 +61,8 @@ def brute(rows, tau, min_chars):
     links = {x: 0 for x in texts}
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if min(len(a), len(b)) >= min_chars and abs(len(a) - len(b)) <= tau and (len(a) < 1000 and lev(a, b) <= tau or len(a) > 1000 and a[:29000] == b[:29000]):
+            t = min(tau, min(len(a), len(b)) // per)
+            if t and abs(len(a) - len(b)) <= t and (len(a) < 1000 and lev(a, b) <= t or len(a) > 1000 and a[:29000] == b[:29000]):
                 links[a] += 1
                 links[b] += 1
                 root[find(a)] = find(b)
@@ -79,7 +80,7 @@ def brute(rows, tau, min_chars):
 def test_matches_all_pairs(spark, tau):
     rows = docs_of(tau, tau, 12)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, line_no int, key string").repartition(4)
-    got = [tuple(r) for r in lines.line_classes(df, tau=tau, min_chars=12).drop("row_key").collect()]
+    got = [tuple(r) for r in lines.line_classes(df, tau=tau, per=12).drop("row_key").collect()]
     want = brute(rows, tau, 12)
     key = lambda r: (str(r[0]), r[1], r[3] is None, r[3] or 0, r[4])
     got.sort(key=key), want.sort(key=key)
@@ -96,6 +97,14 @@ def test_texts_without_repeats(spark):
     assert out == {1: (f"{long}\nshort", len(long) + 6), 2: ("\nown", 4), 3: ("", 0), 4: (None, None)}
 
 
+def test_clashing_columns_and_many_repeated_lines(spark):
+    names = ["_id", "_key", "_gone", "id", "hash", "row", "numbers", "kept", "row_key", "line_no", "class_id", "a.b"]
+    text = "\n".join(f"line {k} of a text with very many lines" for k in range(6000))
+    df = spark.createDataFrame([(k, text, *names) for k in (1, 2)], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    out = {r["doc_id"]: r for r in lines.without_repeats(df).collect()}
+    assert all(list(r)[2:] == names for r in out.values()) and out[2]["text"] == "" and out[1]["text"]
+
+
 def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, "a line that is long enough to be compared")], "doc_id long, text string")
     plan = lines.line_classes(df)._jdf.queryExecution().toString()

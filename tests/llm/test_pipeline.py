@@ -26,9 +26,10 @@ def classes(items, alike):
     return {i: find(i) for i in items}
 
 
-def lev2(a, b):
-    """Within two edits (one row at a time, in a band)."""
-    if abs(len(a) - len(b)) > 2:
+def close(a, b):
+    """Within an edit for every 12 characters of the shorter, two at most (one row at a time, in a band)."""
+    most = min(2, min(len(a), len(b)) // 12)
+    if abs(len(a) - len(b)) > most:
         return False
     row = {j: j for j in range(3)}
     for i in range(1, len(a) + 1):
@@ -38,22 +39,22 @@ def lev2(a, b):
         row = new
         if min(row.values()) > 2:
             return False
-    return row.get(len(b), 9) <= 2
+    return row.get(len(b), 9) <= most
 
 
 def line_dedup(docs):
     lines = sorted({x for _, t in docs for x in t.split("\n") if x.strip(" ")})
     near = {}
-    for x in lines:  # two edits leave one third of a line unchanged, near its place
-        if len(x) >= 24:
+    for x in lines:  # two edits leave one third of a line unchanged, one edit half of it, near its place
+        if len(x) >= 12:
             for d in range(-2, 3):
-                n = (len(x) + d) // 3
-                for s in (0, n, 2 * n):
+                n = (len(x) + d) // (3 if len(x) >= 24 else 2)
+                for s in range(0, len(x) + d - n + 1, n):
                     for o in range(-2, 3):
                         if s + o >= 0:
                             near.setdefault((n, s, x[s + o : s + o + n]), set()).add(x)
     alike = {(a, b) for group in near.values() for a in group for b in group if a < b and len(group) < 400}
-    root = classes(lines, [(a, b) for a, b in alike if lev2(a, b)])
+    root = classes(lines, [(a, b) for a, b in alike if close(a, b)])
     first = {}
     for i, t in sorted(docs):
         for n, x in enumerate(t.split("\n")):

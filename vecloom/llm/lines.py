@@ -1,8 +1,10 @@
 """Line dedup by a segment-partition edit join, in DataFrame and SQL operations only.
 
-Lines at most THRESHOLD edits (of characters) apart belong to one class, with
-all that they link. A line of length l is cut into THRESHOLD + 1 near equal
-segments; if two lines are that close, one segment of the shorter occurs in the
+Lines close to each other belong to one class, with all that they link. Close
+are two lines if they are at most t edits (of characters) apart, t being one for
+every EDIT_CHARS characters of the shorter, THRESHOLD at most (so lines of fewer
+than EDIT_CHARS characters are close to equal ones only). A line that permits t
+edits is cut into t + 1 near equal segments; if two lines are that close, one segment of the shorter occurs in the
 longer near its place. Segments are indexed under their length and number, the
 longer line probes the few starts that can match (multi-match-aware selection),
 and the pairs found are verified by a banded bit-parallel edit distance: one
@@ -18,11 +20,12 @@ of all rows share travels once a task; only distinct lines are indexed. Texts
 are fetched for lines in a pair only, through a bit table of fixed size.
 
 Defined results: lines are split at line feeds; blank ones and those of null
-texts are in no class (null class_id) and stay; lines under MIN_CHARS belong
-with equal ones only. Of a class, the occurrence with the smallest (doc_id,
-line_no) stays; repeated rows of a document keep the same lines; lines of rows
-with a null doc_id go if the class occurs under some id, else stay. class_id is
-the smallest 64-bit hash of the class's lines.
+texts are in no class (null class_id) and stay. Of a class, the occurrence with
+the smallest (doc_id, line_no) stays; repeated rows of a document keep the same
+lines; lines of rows with a null doc_id go if the class occurs under some id,
+else stay. class_id is the smallest 64-bit hash of the class's lines. An empty
+table gives no rows; lines of any length are read whole; other columns, whatever
+their names, come back unchanged from without_repeats().
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from vecloom.llm.graph import components
 from vecloom.llm.store import narrowed, written
 
 THRESHOLD = 2
-MIN_CHARS = 24
+EDIT_CHARS = 12
 #: The bit table has this many words of 64 bits.
 BIT_WORDS = 1 << 16
 
@@ -60,6 +63,11 @@ def _keys(tau: int, shift: int, probe: bool) -> list[str]:
     return found
 
 
+def _permitting(t: int, tau: int, per: int, length: str) -> str:
+    """SQL: whether lines of that length permit t edits and no more."""
+    return f"{length} >= {per * t}" + (f" and {length} < {per * (t + 1)}" if t < tau else "")
+
+
 def edit_within(a: str, b: str, tau: int) -> str:
     """SQL: whether arrays of characters a and b, of lengths differing by tau at most, are within tau edits."""
     stride, band = 2 * tau + 4, 2 * tau + 1
@@ -88,14 +96,18 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def close_pairs(pairs: DataFrame, tau: int) -> DataFrame:
-    """(u, v) of the rows of pairs(u, v, a, b) whose lines a and b are within tau edits."""
+def close_pairs(pairs: DataFrame, tau: int, per: int = 0) -> DataFrame:
+    """(u, v) of the rows of pairs(u, v, a, b) whose lines a and b are within the edits they permit: one for every per
+    characters of the shorter, tau at most."""
     steps = "array(" + ", ".join(str(1 << k) for k in range(20, -1, -1)) + ")"
     # Lengths of the common beginning p and end q, by halving.
     head = f"aggregate({steps}, 0, (r, d) -> if(r + d <= least(m.a, m.b) and substring(a, 1, r + d) = substring(b, 1, r + d), r + d, r))"
     tail = f"aggregate({steps}, 0, (r, d) -> if(r + d <= least(m.a, m.b) - p and substring(a, m.a - r - d + 1, r + d) = substring(b, m.b - r - d + 1, r + d), r + d, r))"
     rest = f"struct({_chars('substring(a, p + 1, m.a - p - q)')} as a, {_chars('substring(b, p + 1, m.b - p - q)')} as b)"
-    close = _let("p", head, _let("q", tail, _let("w", rest, edit_within("w.a", "w.b", tau))))
+    within = edit_within("w.a", "w.b", tau)
+    for t in range(tau - 1, 0, -1) if per else ():
+        within = f"if(least(m.a, m.b) >= {per * (t + 1)}, {within}, {edit_within('w.a', 'w.b', t)})"
+    close = _let("p", head, _let("q", tail, _let("w", rest, within)))
     return pairs.where(F.expr(_let("m", "struct(length(a) as a, length(b) as b)", f"abs(m.a - m.b) <= {tau} and {close}"))).select("u", "v")
 
 
@@ -127,28 +139,33 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _ID = "(xxhash64(line) & -2L)"
 
 
-def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, per: int = EDIT_CHARS) -> tuple[DataFrame, DataFrame]:
     """Distinct lines that occur again or have a link, as (id, class_id, n_links); and all links (u, v)."""
-    spark = df.sparkSession
-    min_chars = max(min_chars, 2 * tau + 2)
+    if tau < 1 or per < 2:
+        raise ValueError("lines need an edit at least and two characters for each")
     lines = lines_of(df, id_col, text_col).where(F.expr("trim(line) <> ''"))
     counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(F.expr(_ID).alias("id"), "line", "copies", F.length("line").alias("n"))
-    distinct = written(counted.withColumn("own", F.expr(f"if(n >= {min_chars}, array({', '.join(_keys(tau, 0, False))}), null)")), "lines-distinct")
-    long = distinct.where(F.col("n") >= min_chars)
+    levels = range(1, tau + 1)
+    own_of = "case " + " ".join(f"when {_permitting(t, tau, per, 'n')} then array({', '.join(_keys(t, 0, False))})" for t in levels) + " end"
+    distinct = written(counted.withColumn("own", F.expr(own_of)), "lines-distinct")
+    long = distinct.where(F.col("n") >= per)
     own_keys = F.explode("own").alias("key")
     crowded = written(long.select(own_keys).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "lines-crowded")
     crowd = written(narrowed(long.select("id", own_keys), "key", crowded, "key").join(crowded, "key").select("id").distinct(), "lines-crowd")
     marked = _maybe(long, crowd).withColumn("sign", F.expr(f"if(held, {parities()}, null)"))
     own = marked.select("id", "sign", own_keys)
-    probes = [f"transform(concat(own, array({', '.join(_keys(tau, 0, True))})), k -> struct(k as key, id | 1L as code))"]
-    probes += [f"if(n - {s} >= {min_chars}, transform(array({', '.join(_keys(tau, s, True))}), k -> struct(k as key, id as code)), array())" for s in range(1, tau + 1)]
+    same = "case " + " ".join(f"when {_permitting(t, tau, per, 'n')} then array({', '.join(_keys(t, 0, True))})" for t in levels) + " end"
+    probes = [f"transform(concat(own, {same}), k -> struct(k as key, id | 1L as code))"]
+    for shift in levels:  # as lines shorter by shift, which permit t edits
+        cases = " ".join(f"when {_permitting(t, tau, per, f'(n - {shift})')} then transform(array({', '.join(_keys(t, shift, True))}), k -> struct(k as key, id as code))" for t in range(shift, tau + 1))
+        probes.append(f"case {cases} else array() end")
     probe = marked.select("sign", F.explode(F.expr(f"concat({', '.join(probes)})")).alias("r")).select("r.key", "r.code", "sign").where("key is not null")
     alike = f"coalesce(bit_count(o.sign ^ p.sign) <= {4 * tau}, true)"
     met = own.alias("o").join(probe.alias("p"), "key").where(f"o.id <> (p.code & -2L) and ((p.code & 1L) = 0 or o.id < (p.code & -2L)) and {alike}")
     pairs = written(met.select(F.col("o.id").alias("u"), F.expr("p.code & -2L").alias("v")).distinct(), "lines-pairs")
     texts = _maybe(long, pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))).where("held").select("id", "line")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
-    links = written(close_pairs(both, tau), "lines-links")
+    links = written(close_pairs(both, tau, per), "lines-links")
     roots = components(links, "lines-classes")
     degree = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     again = distinct.where("copies > 1").select("id").unionByName(degree.select("id")).distinct()
@@ -156,9 +173,9 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return written(known, "lines-known"), links
 
 
-def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, per: int = EDIT_CHARS) -> DataFrame:
     """Per line of every row: doc_id, row_key, line_no, class_id, n_links, removed."""
-    known, _ = similar_lines(df, id_col, text_col, tau, min_chars)
+    known, _ = similar_lines(df, id_col, text_col, tau, per)
     lines = lines_of(df, id_col, text_col).select("doc_id", "row_key", "line_no", F.expr(f"if(trim(line) <> '', {_ID}, null)").alias("id"))
     hits = written(lines.where("id is not null").join(known, "id"), "lines-hits")
     firsts = written(hits.where("doc_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "lines-firsts")
@@ -167,13 +184,22 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return judged.unionByName(rest)
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, per: int = EDIT_CHARS) -> DataFrame:
     """All rows of df, columns unchanged, their texts without the lines that are kept elsewhere (n_chars, if there, told anew)."""
-    gone = line_classes(df, id_col, text_col, tau, min_chars).where("removed")
-    gone = written(gone.groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone")), "lines-gone")
-    joined = df.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left")
-    kept = F.expr(f"if(_gone is null, `{text_col}`, array_join(filter(transform(split(`{text_col}`, '\\n'), (x, i) -> if(array_contains(_gone, i), null, x)), x -> x is not null), '\\n'))")
-    out = joined.withColumn(text_col, kept)
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+    gone = line_classes(df, id_col, text_col, tau, per).where("removed")
+    gone = written(gone.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("numbers")), "lines-gone")
+    # A row travels as one struct, so no name of its columns can clash with those of gone.
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    joined = rows.join(gone, rows["id"].eqNullSafe(gone["doc_id"]) & (rows["hash"] == gone["row_key"]), "left").select("row", "numbers")
+    text = f"row.`{text_col}`"
+    kept = _let("l", f"split({text}, '\\n')", "array_join(transform(array_except(sequence(0, size(l) - 1), numbers), i -> get(l, i)), '\n')")
+    out = joined.select("row", "numbers", F.expr(f"if(numbers is null, {text}, {kept})").cast(df.schema[text_col].dataType).alias("kept"))
+
+    def told(name: str):
+        if name == text_col:
+            return F.col("kept")
+        if name == "n_chars":
+            return F.when(F.col("numbers").isNull(), F.col("row.n_chars")).otherwise(F.length("kept")).cast(df.schema[name].dataType)
+        return F.col(f"row.`{name}`")
+
+    return out.select(*[told(c).alias(c) for c in df.columns])
