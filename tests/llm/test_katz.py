@@ -7,55 +7,67 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vecloom.llm import katz
+from vecloom.llm import katz, store
 
 
-def brute(rows):
+def brute(rows, order):
     def tokens(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
         return [*re.findall(r"[^\x20\x09-\x0D]+", low), "</end>"]
 
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     docs = [tokens(t) for _, t in rows]
-    one, two = Counter(), Counter()
+    grams = [Counter() for _ in range(order)]
     for d, out in zip(docs, held):
         if not out:
-            one.update(d)
-            two.update(zip(["<begin>", *d], d))
+            grams[0].update((w,) for w in d)
+            for n in range(2, order + 1):
+                padded = ["<begin>", *d]
+                grams[n - 1].update(tuple(padded[k : k + n]) for k in range(len(padded) - n + 1))
+    one = Counter({w: c for (w,), c in grams[0].items()})
     n, v = sum(one.values()), len(one)
-    ctx = Counter(one) + Counter({"<begin>": one["</end>"]})
-    d1, d2 = (katz.discounts([sum(c == r for c in x.values()) for r in range(1, katz.K + 2)]) for x in (one, two))
+    ds = [katz.discounts([sum(c == r for c in x.values()) for r in range(1, katz.K + 2)]) for x in grams]
     cut = lambda d, r: (d[r - 1] if r <= katz.K else 1) * r
-    p1 = {w: cut(d1, c) / (n + 1) for w, c in one.items()}
+    p1 = {w: cut(ds[0], c) / (n + 1) for w, c in one.items()}
     unk = 1 - math.fsum(p1.values())
     follow = {}
-    for (h, w), r in two.items():
-        follow.setdefault(h, {})[w] = r
+    for x in grams[1:]:
+        for g, r in x.items():
+            follow.setdefault(g[:-1], {})[g[-1]] = r
+    known = {}
 
     def dist(h):
-        if not ctx[h]:
-            return lambda w: p1.get(w, unk)
-        kept = math.fsum(cut(d2, r) for r in follow[h].values())
-        den = ctx[h] + (kept >= ctx[h] * (1 - 1e-12))
-        alpha = (1 - kept / den) / (1 - math.fsum(p1[w] for w in follow[h]))
-        return lambda w: cut(d2, follow[h][w]) / den if w in follow[h] else alpha * p1.get(w, unk)
-
-    for h in [h for h in ctx if h in follow][:20] + ["never seen"]:
+        """P(. | h), by recursion."""
+        if h not in known:
+            if not h:
+                known[h] = lambda w: p1.get(w, unk)
+            elif h not in follow:
+                known[h] = dist(h[1:])
+            else:
+                seen, d, lower = follow[h], ds[len(h)], dist(h[1:])
+                kept, c = math.fsum(cut(d, r) for r in seen.values()), sum(seen.values())
+                den = c + (kept >= c * (1 - 1e-12))
+                alpha = (1 - kept / den) / (1 - math.fsum(lower(w) for w in seen))
+                known[h] = lambda w: cut(d, seen[w]) / den if w in seen else alpha * lower(w)
+        return known[h]
+
+    for h in [h for h in follow if len(h) == 1][:20] + [h for h in follow if len(h) == order - 1][-20:] + [("never", "seen")]:
         p = dist(h)
         assert math.fsum([*(p(w) for w in one), p("<unk>")]) == pytest.approx(1, abs=1e-9)
     out = []
     for (i, _), d, o in zip(rows, docs, held):
         base = math.fsum(math.log10((one[w] + 1) / (n + 1 * (v + 1))) for w in d)
-        score = math.fsum(math.log10(dist(h)(w)) for h, w in zip(["<begin>", *d], d))
+        padded = ["<begin>", *d]
+        score = math.fsum(math.log10(dist(tuple(padded[max(0, k + 2 - order) : k + 1]))(w)) for k, w in enumerate(d))
         out.append((i, o, len(d), sum(one[w] > 0 for w in d), n, base, score))
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, order=katz.ORDER):
     df = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double").repartition(3)
     key = lambda r: str(r[:5]) + f"{r[5]:.6f}"
-    got = sorted((tuple(r) for r in katz.lm_scores(df).collect()), key=key)
-    want = sorted(brute(rows), key=key)
+    got = sorted((tuple(r) for r in katz.lm_scores(df, order=order).collect()), key=key)
+    want = sorted(brute(rows, order), key=key)
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9)
@@ -68,13 +80,21 @@ def rows_of(n=120):
     return rows + [(None, "the the the"), (1, None), (3, ""), (3, "x the"), (3, "x the"), (777, "the " * 5000)]
 
 
-def test_matches_brute_force(spark):
-    check(spark, rows_of())
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_matches_brute_force(spark, order):
+    check(spark, rows_of(), order)
+
+
+def test_unknown_words_after_known_contexts(spark, monkeypatch):
+    monkeypatch.setattr(store, "GROUP_BYTES", 40)
+    held = [k for k in range(300) if katz.held_out(k)][:6]
+    train = [(k, "a b c d a b e") for k in range(300, 340) if not katz.held_out(k)]
+    check(spark, train + [(held[0], "a x"), (held[1], "a b x c"), (held[2], "x a b"), (held[3], "e a c"), (held[4], "b"), (held[5], "a b c x")])
 
 
 def test_frequent_contexts_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(katz, "HOT_COUNT", 20)
-    monkeypatch.setattr(katz, "GROUP_BYTES", 1, raising=False)
+    monkeypatch.setattr(store, "GROUP_BYTES", 3000)
     check(spark, rows_of())
 
 

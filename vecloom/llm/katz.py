@@ -1,28 +1,34 @@
-"""Katz backoff bigram model over lower-cased words, learned from and applied to whole documents.
+"""Katz backoff model of ORDER words over lower-cased words, learned from and applied to whole documents.
 
-Tokens of a document are its words and one end; the context of a token is the
-one before it (a begin mark for the first). For a context h seen in training
+Tokens of a document are its words and one end; the context of a token are the
+ORDER - 1 before it, or as many as there are, the first token having a begin
+mark. For a context h seen in training, h' being h without its first word,
 
     P(w | h) = d_r * r / c(h)            where r = c(h, w) > 0
-             = alpha(h) * P(w)           otherwise
-    alpha(h) = (1 - sum of the upper line) / (1 - sum of P(w) over seen w)
-
-and P(w) for an unseen context; P(w) itself is Good-Turing discounted over
-N + 1 tokens, what is left going to one slot for unknown words. d_r are Katz's
-Good-Turing discounts for r <= K, else 1. A context whose counts leave nothing
-is read over c(h) + 1. So every distribution sums to one over V + 1 words.
-
-Scale: documents are packed once into groups. A group sends each distinct word,
-then each distinct pair, once to the bucket that counts it, as sorted integers;
-buckets write their counts as tables of slices, one for each group that asked,
-which come back to score the group. Contexts frequent enough to fill a bucket
-are dealt out by the pair instead, and their sums gathered (no more than
+             = alpha(h) * P(w | h')      otherwise
+    alpha(h) = (1 - sum of the upper line) / (1 - sum of P(w | h') over seen w)
+
+and P(w | h') for an unseen context; P(w) is Good-Turing discounted over N + 1
+tokens, what is left going to one slot for unknown words. d_r are Katz's
+Good-Turing discounts of each order for r <= K, else 1. A context whose counts
+leave nothing is read over c(h) + 1. So every distribution sums to one over
+V + 1 words.
+
+Scale: documents are packed once into groups. Order by order, a group sends each
+distinct n-gram once to the bucket that counts it, as sorted integers (a context
+is told by the number it got an order below); buckets write their counts as
+tables of slices, one for each group that asked, which come back to score the
+group. What a context's backoff weight needs is sent back only where a word
+unseen after it was asked for. Contexts frequent enough to fill a bucket are
+dealt out by the n-gram instead, and their sums gathered (no more than
 HOT_CONTEXTS of them exist by definition). All counts cover all training
-documents; the driver sees the count-of-counts and hot sums only.
+documents; the driver sees the counts of counts and hot sums only.
 
 Defined results: a null text is empty (one end token); a null id is never held
 out; rows are scored one by one, each training row counts, repeated or not; an
 empty training set gives all mass to the unknown slot (score and base_score 0).
+An empty table gives no rows; a text longer than a group is a group of its own;
+other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -38,12 +44,13 @@ from pyspark.sql import functions as F
 from vecloom.llm import kernel
 from vecloom.llm.store import buckets_for, pack_groups, squeeze, text_bytes, unsqueeze, written
 
+ORDER = 3
 K = 5
 HOT_CONTEXTS = 100_000
 HOT_COUNT = 65_536
 _END, _BEGIN = np.uint64(0x51ED270B0A1B2C3D), np.int64(1) << np.int64(62)
 _SLICE = "kind int, gid long, bucket int, blob binary"
-WORDS, PAIRS, STATS, HOT = 0, 1, 2, 3
+ANSWER, STATS, HOT = 0, 1, 2
 
 
 def held_out(doc_id) -> bool:
@@ -87,31 +94,146 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return (r - off) / r
 
 
+def tokens_of(ids: list, texts: list[bytes]) -> tuple:
+    """A group's ids, its documents' numbers of tokens, its distinct words (hashes, most frequent first) and its tokens as their places."""
+    raw, begins = kernel.join_texts(texts)
+    raw = raw + np.uint8(32) * ((raw >= 65) & (raw <= 90))
+    starts, ends = kernel.word_bounds(raw)
+    doc = np.searchsorted(begins, starts, side="right") - 1
+    tokens = np.full(len(starts) + len(ids), _END)
+    tokens[np.arange(len(starts)) + doc] = kernel.word_hashes(raw, starts, ends)
+    code, words = pd.factorize(tokens)
+    order = np.argsort(-np.bincount(code, minlength=len(words)), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return ids, planes(np.bincount(doc, minlength=len(ids)) + 1), planes(words[order]), planes(place[code])
+
+
+def _sorted_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value among the distinct ones, and those, sorted."""
+    code, kinds = pd.factorize(x)
+    order = np.argsort(kinds)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[code], kinds[order]
+
+
+class Level:
+    """The n-grams of one order in a group, in the order in which they are sent.
+
+    context: of each token, its context's place in the order below, or -1 if it has none or one not in training;
+    gram: its n-gram's place here, or -1 if what follows the context's first word is not in training, so it can't be.
+    """
+
+    def __init__(self, group: "Group", context: np.ndarray, numbers: np.ndarray, counts: np.ndarray, below: np.ndarray):
+        """numbers and counts of contexts; below: of each token, the count of its n-gram of the order below."""
+        n = len(group.words)
+        self.context = np.where((context >= 0) & (counts[context] > 0), context, -1)
+        self.numbers, self.counts, self.hot = numbers, counts, counts > group.hot
+        asked = (self.context >= 0) & (below > 0)
+        code, kinds = pd.factorize(self.context[asked] * np.int64(n) + group.token[asked])
+        h, w = kinds // n, kinds % n
+        bucket = numbers[h] >> 32
+        dealt = self.hot[h]
+        bucket[dealt] = (kernel.mix((numbers[h[dealt]] + group.number[w[dealt]] * 31).astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
+        bucket %= group.n_buckets
+        order = np.lexsort((w, h, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.gram = np.full(len(context), -1)
+        self.gram[asked] = place[code]
+        self.h, self.w, self.bucket = h[order], w[order], bucket[order]
+        trained = asked & ~group.held[group.doc]
+        self.trained = np.bincount(self.gram[trained], minlength=len(order))
+        self.below = np.zeros(len(order), np.int64)
+        self.below[self.gram[asked]] = below[asked]
+        self.words = group.number[self.w]
+        # Contexts of tokens that can't have been seen after them: their weights are needed whatever the counts are.
+        missed = np.unique(self.context[(self.context >= 0) & ~asked])
+        missed = missed[~self.hot[missed]]
+        order = np.lexsort((numbers[missed], numbers[missed] >> 32))
+        self.missed = missed[order]
+        self.missed_bucket = (numbers[self.missed] >> 32) % group.n_buckets
+        order = np.argsort(self.missed_bucket, kind="stable")
+        self.missed, self.missed_bucket = self.missed[order], self.missed_bucket[order]
+
+    def parts(self):
+        """(bucket, its n-grams, the first of each context among them, its contexts missed)."""
+        for b in np.union1d(self.bucket, self.missed_bucket).tolist():
+            lo, hi = np.searchsorted(self.bucket, [b, b + 1]).tolist()
+            mlo, mhi = np.searchsorted(self.missed_bucket, [b, b + 1]).tolist()
+            yield b, slice(lo, hi), np.flatnonzero(np.diff(self.h[lo:hi], prepend=-1)), slice(mlo, mhi)
+
+    def blocks(self):
+        """Contexts and words of a block rise, as numbers do from place to place."""
+        for b, part, first, missed in self.parts():
+            h = self.h[part][first]
+            yield b, squeeze((rising(self.numbers[h]), planes(np.diff(np.append(first, part.stop - part.start))), planes(self.words[part]), planes(self.trained[part]), planes(self.below[part]), np.packbits(self.hot[h]), rising(self.numbers[self.missed[missed]])))
+
+    def learn(self, slices: dict[int, bytes]) -> None:
+        """Takes every n-gram's count and number, and sums of counts of the contexts that need them."""
+        self.count, self.number = np.zeros(len(self.h), np.int64), np.zeros(len(self.h), np.int64)
+        self.full = np.zeros(len(self.counts), bool)
+        self.sums = np.zeros((len(self.counts), 2 * K + 2), np.int64)
+        for b, part, first, missed in self.parts():
+            count, rank, full, sums = unsqueeze(slices[b])
+            self.count[part] = count = unplanes(count).astype(np.int64)
+            number = np.zeros(len(count), np.int64)
+            number[count > 0] = (b << 32) + unrising(rank).astype(np.int64)
+            self.number[part] = number
+            h = self.h[part][first]
+            self.full[h] = np.unpackbits(full, count=len(h)).astype(bool)
+            own = self._needed(h, np.minimum.reduceat(count, first) if len(first) else count, self.missed[missed])
+            self.sums[own] = unplanes(sums).reshape(-1, 2 * K + 2)
+            self.full[own] = self.sums[own, :K].sum(1) == 0
+
+    def _needed(self, h: np.ndarray, least: np.ndarray, missed: np.ndarray) -> np.ndarray:
+        needed = np.union1d(h[(least == 0) & ~self.hot[h]], missed)
+        return needed[np.argsort(self.numbers[needed])]
+
+    def learn_hot(self, numbers: np.ndarray, sums: np.ndarray) -> None:
+        mine = np.flatnonzero(self.hot)
+        if len(mine) and len(numbers):
+            at = np.minimum(np.searchsorted(numbers, self.numbers[mine]), len(numbers) - 1)
+            mine, at = mine[numbers[at] == self.numbers[mine]], at[numbers[at] == self.numbers[mine]]
+            self.sums[mine] = sums[at]
+            self.full[mine] = sums[at, :K].sum(1) == 0
+
+    def probability(self, lower: np.ndarray, over: np.ndarray, own: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Of each token, from the probabilities an order below: over is, by token, what those counts are read over
+        there; own and below are the discounts of this order and that."""
+        r = np.arange(1, K + 1)
+        kept = self.sums[:, :K] @ (own * r) + self.sums[:, K]
+        self.whole = self.counts + self.full.astype(float)
+        has = self.context >= 0
+        base = np.ones(len(self.counts))
+        base[self.context[has]] = over[has]
+        observed = (self.sums[:, K + 1 : 2 * K + 1] @ (below * r) + self.sums[:, 2 * K + 1]) / base
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alpha = (1 - kept / np.maximum(self.whole, 1)) / (1 - observed)
+        times = np.where(self.gram >= 0, np.append(self.count, 0)[self.gram], 0)
+        seen = np.append(own, 1.0)[np.clip(times, 1, K + 1) - 1] * times / np.maximum(self.whole[self.context], 1)
+        return np.where(times > 0, seen, np.where(has, alpha[self.context] * lower, lower))
+
+
 class Group:
     """Tokens of one group of documents; its distinct words, sorted by hash, and the bucket of each."""
 
-    def __init__(self, blob: bytes, n_buckets: int):
-        self.ids, texts = unsqueeze(blob)
-        raw, begins = kernel.join_texts(texts)
-        del texts
-        raw = raw + np.uint8(32) * ((raw >= 65) & (raw <= 90))
-        starts, ends = kernel.word_bounds(raw)
-        doc = np.searchsorted(begins, starts, side="right") - 1
-        n_docs = len(self.ids)
-        tokens = np.full(len(starts) + n_docs, _END)
-        tokens[np.arange(len(starts)) + doc] = kernel.word_hashes(raw, starts, ends)
-        self.sizes = np.bincount(doc, minlength=n_docs) + 1
+    def __init__(self, blob: bytes, n_buckets: int, documents: int = 0, hot: int = HOT_COUNT):
+        self.ids, sizes, words, tokens = unsqueeze(blob)
+        self.n_buckets, self.documents, self.hot = n_buckets, documents, hot
+        self.sizes = unplanes(sizes).astype(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.doc = np.repeat(np.arange(n_docs), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         self.held = np.array([held_out(i) for i in self.ids], bool)
-        code, words = pd.factorize(tokens)
+        words = unplanes(words)
         order = np.argsort(words)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.token, self.words = place[code], words[order]
+        self.token, self.words = place[unplanes(tokens).astype(np.int64)], words[order]
         self.trained = np.bincount(self.token[~self.held[self.doc]], minlength=len(order))
         self.bucket = ((self.words >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-        self.n_buckets = n_buckets
+        self.levels: list[Level] = []
 
     def word_blocks(self):
         edges = np.flatnonzero(np.diff(self.bucket, prepend=-1))
@@ -125,73 +247,33 @@ class Group:
         rank = np.concatenate([unplanes(p[1]) for p in parts]).astype(np.int64)
         self.number = np.where(rank > 0, (self.bucket << 32) + rank, 0)
 
-    def make_pairs(self, documents: int, hot: int) -> None:
-        """Distinct (context, word) pairs of known words, in the order in which they are sent."""
-        n, self.hot = len(self.words), hot
-        context = np.empty(len(self.token), np.int64)
-        context[1:] = self.token[:-1]
-        context[self.first] = n
-        self.context = context
-        self.context_count = np.append(self.count, documents)
-        number = np.append(self.number, _BEGIN if documents else 0)
-        known = (number[context] > 0) & (self.number[self.token] > 0)
-        code, pair = pd.factorize(context[known] * np.int64(n + 1) + self.token[known])
-        h, w = pair // (n + 1), pair % (n + 1)
-        mixed = number[h].astype(np.uint64)
-        mixed = np.where(self.context_count[h] > hot, mixed + kernel.mix(self.number[w].astype(np.uint64)), mixed)
-        bucket = (kernel.mix(mixed) % np.uint64(self.n_buckets)).astype(np.int64)
-        order = np.lexsort((w, h, bucket))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.pair = np.full(len(self.token), -1)
-        self.pair[known] = place[code]
-        self.h, self.w, self.pair_bucket, self.context_number = h[order], w[order], bucket[order], number
-        trained = ~self.held[self.doc] & known
-        self.pair_trained = np.bincount(self.pair[trained], minlength=len(order))
-
-    def context_edges(self, a: int, b: int) -> np.ndarray:
-        return np.flatnonzero(np.diff(self.h[a:b], prepend=-1))
-
-    def pair_edges(self):
-        edges = np.flatnonzero(np.diff(self.pair_bucket, prepend=-1))
-        return zip(edges.tolist(), np.append(edges[1:], len(self.pair_bucket)).tolist())
-
-    def pair_blocks(self):
-        """Contexts of a block rise, as words are numbered in the order of their hashes and the begin mark is largest."""
-        for a, b in self.pair_edges():
-            first = self.context_edges(a, b)
-            h, w = self.h[a:b], self.w[a:b]
-            yield int(self.pair_bucket[a]), squeeze((rising(self.context_number[h[first]]), planes(np.diff(np.append(first, b - a))), planes(self.number[w]), planes(self.pair_trained[a:b]), planes(self.count[w]), np.packbits(self.context_count[h[first]] > self.hot)))
-
-    def scores(self, slices: dict[int, bytes], stats: dict):
+    def add_level(self) -> Level:
+        """The n-grams of the next order."""
+        if not self.levels:
+            last, numbers, counts = self.token, np.append(self.number, _BEGIN if self.documents else 0), np.append(self.count, self.documents)
+            begin, below = len(self.words), self.count[self.token]
+        else:
+            top = self.levels[-1]
+            last, numbers, counts = top.gram, np.append(top.number, 0), np.append(top.count, 0)
+            begin, below = -1, np.where(top.gram >= 0, counts[top.gram], 0)
+        context = np.empty(len(last), np.int64)
+        context[1:] = last[:-1]
+        context[self.first] = begin
+        self.levels.append(Level(self, context, numbers, counts, below))
+        return self.levels[-1]
+
+    def scores(self, stats: dict):
         """Per document: id, held_out, n_tokens, n_known, base_score, score."""
-        n, total, vocabulary = len(self.words), stats["N"], stats["V"]
+        total, vocabulary = stats["N"], stats["V"]
         count = self.count[self.token]
         base = np.log10((count + 1) / (total + 1 * (vocabulary + 1)))
-        d1, d2 = discounts(stats["words"]), discounts(stats["pairs"])
-        one = np.append(d1, 1.0)
-        uni = np.where(count > 0, one[np.clip(count, 1, K + 1) - 1] * count / (total + 1), stats["unknown"])
-        seen = np.zeros(len(self.pair_bucket), np.int64)
-        sums = np.zeros((n + 1, 2 * K + 2))
-        for a, b in self.pair_edges():
-            part = unsqueeze(slices[int(self.pair_bucket[a])])
-            seen[a:b] = unplanes(part[0])
-            own = self.h[a:b][self.context_edges(a, b)]
-            sums[own] = unplanes(part[1]).reshape(-1, 2 * K + 2)
-        if len(stats["hot"]):
-            at = np.searchsorted(stats["hot"], self.context_number)
-            hit = (at < len(stats["hot"])) & (stats["hot"][np.minimum(at, len(stats["hot"]) - 1)] == self.context_number)
-            sums[hit] = stats["hot_sums"][at[hit]]
-        r = np.arange(1, K + 1)
-        kept = sums[:, :K] @ (d2 * r) + sums[:, K]
-        whole = self.context_count.astype(float)
-        whole += kept >= whole * (1 - 1e-12)
-        observed = (sums[:, K + 1 : 2 * K + 1] @ (d1 * r) + sums[:, 2 * K + 1]) / (total + 1)
-        alpha = np.where(self.context_count > 0, (1 - kept / np.maximum(whole, 1)) / (1 - observed), 1.0)
-        times = np.where(self.pair >= 0, np.append(seen, 0)[self.pair], 0)
-        two = np.append(d2, 1.0)
-        h = self.context
-        prob = np.where(times > 0, two[np.clip(times, 1, K + 1) - 1] * times / np.maximum(whole[h], 1), alpha[h] * uni)
+        below = discounts(stats["counts"][0])
+        prob = np.where(count > 0, np.append(below, 1.0)[np.clip(count, 1, K + 1) - 1] * count / (total + 1), stats["unknown"])
+        over = np.full(len(count), total + 1.0)
+        for level, counts in zip(self.levels, stats["counts"][1:]):
+            own = discounts(counts)
+            prob = level.probability(prob, over, own, below)
+            over, below = level.whole[level.context], own
 
         def by_doc(x):
             return np.add.reduceat(x, self.first)
@@ -223,53 +305,55 @@ def _count_words(table: pa.Table) -> pa.Table:
     rows, at = [], 0
     for gid, own in zip(gids, words):
         mine = code[at : at + len(own)]
-        rows.append((WORDS, gid, bucket, squeeze((planes(count[mine]), planes(rank[mine])))))
+        rows.append((ANSWER, gid, bucket, squeeze((planes(count[mine]), planes(rank[mine])))))
         at += len(own)
     ends = count[kinds[order] == _END]
     rows.append((STATS, -1, bucket, squeeze((int((count > 0).sum()), int(count.sum()), _of_counts(count), int(ends.sum())))))
     return _slices(rows)
 
 
-def _count_pairs(table: pa.Table) -> pa.Table:
-    """One bucket of pairs: counts over all groups and, for each context, what its backoff weight needs."""
+def _count_grams(table: pa.Table) -> pa.Table:
+    """One bucket of n-grams: counts over all groups, numbers for those in training and, for contexts with an unseen
+    n-gram, what their backoff weights need."""
     bucket, gids = table.column("bucket")[0].as_py(), table.column("gid").to_pylist()
-    contexts, runs, w, trained, c, split = [], [], [], [], [], []
-    for b in table.column("blob"):
-        p = unsqueeze(b.as_py())
-        contexts.append(unrising(p[0]))
-        runs.append(unplanes(p[1]).astype(np.int64))
-        w.append(unplanes(p[2]))
-        trained.append(unplanes(p[3]))
-        c.append(unplanes(p[4]))
-        split.append(np.unpackbits(p[5], count=len(contexts[-1])))
-    sizes = [len(x) for x in w]
-    where, distinct = pd.factorize(np.concatenate(contexts))
-    h = np.repeat(where, np.concatenate(runs))
-    w_code, w_kinds = pd.factorize(np.concatenate(w))
-    code, kinds = pd.factorize(h * np.int64(len(w_kinds)) + w_code)
-    count = np.bincount(code, weights=np.concatenate(trained), minlength=len(kinds)).astype(np.int64)
-    of = kinds // len(w_kinds)
-    freq = np.zeros(len(w_kinds), np.int64)
-    freq[w_code] = np.concatenate(c).astype(np.int64)
-    freq = freq[kinds % len(w_kinds)]
+    asks = [unsqueeze(b.as_py()) for b in table.column("blob")]
+    contexts = [unrising(p[0]) for p in asks]
+    missed = [unrising(p[6]) for p in asks]
+    runs = [unplanes(p[1]).astype(np.int64) for p in asks]
+    words = [unplanes(p[2]) for p in asks]
+    code, distinct = _sorted_codes(np.concatenate([*contexts, *missed]))
+    where = np.split(code, np.cumsum([len(x) for x in contexts + missed])[:-1])
+    where, missed = where[: len(asks)], where[len(asks) :]
+    w_code, w_kinds = _sorted_codes(np.concatenate(words))
+    code, kinds = _sorted_codes(np.repeat(np.concatenate(where), np.concatenate(runs)) * np.int64(max(len(w_kinds), 1)) + w_code)
+    count = np.bincount(code, weights=np.concatenate([unplanes(p[3]) for p in asks]), minlength=len(kinds)).astype(np.int64)
+    rank = np.cumsum(count > 0)
+    of = kinds // max(len(w_kinds), 1)
+    below = np.zeros(len(kinds), np.int64)
+    below[code] = np.concatenate([unplanes(p[4]) for p in asks]).astype(np.int64)
     seen = count > 0
     sums = np.zeros((len(distinct), 2 * K + 2), np.int64)
-    for col, x in ((0, count), (K + 1, freq)):
+    for col, x in ((0, count), (K + 1, below)):
         few = seen & (x <= K)
         np.add.at(sums, (of[few], col + x[few] - 1), 1)
         many = seen & (x > K)
         np.add.at(sums[:, col + K], of[many], x[many])
-    rows, at, ctx = [], 0, 0
-    for gid, size, own in zip(gids, sizes, contexts):
-        mine = where[ctx : ctx + len(own)]
-        rows.append((PAIRS, gid, bucket, squeeze((planes(count[code[at : at + size]]), planes(sums[mine].ravel())))))
-        at, ctx = at + size, ctx + len(own)
-    rows.append((STATS, -1, bucket, squeeze(_of_counts(count))))
-    # Of contexts dealt out by the pair, this bucket has a part of the sums only.
-    flag = np.zeros(len(distinct), bool)
-    flag[where] = np.concatenate(split).astype(bool)
-    if flag.any():
-        rows.append((HOT, -1, bucket, squeeze((distinct[flag].astype(np.int64), sums[flag]))))
+    full = sums[:, :K].sum(1) == 0
+    hot = np.zeros(len(distinct), bool)
+    rows, at = [], 0
+    for gid, own, more, run, p in zip(gids, where, missed, runs, asks):
+        mine = code[at : at + int(run.sum())]
+        at += len(mine)
+        dealt = np.unpackbits(p[5], count=len(own)).astype(bool)
+        hot[own[dealt]] = True
+        got = count[mine]
+        least = np.minimum.reduceat(got, np.cumsum(run) - run) if len(run) else got
+        needed = np.union1d(own[(least == 0) & ~dealt], more)
+        rows.append((ANSWER, gid, bucket, squeeze((planes(got), rising(rank[mine][got > 0]), np.packbits(full[own]), planes(sums[needed].ravel())))))
+    rows.append((STATS, -1, bucket, squeeze((_of_counts(count),))))
+    # Of contexts dealt out by the n-gram, this bucket has a part of the sums only.
+    if hot.any():
+        rows.append((HOT, -1, bucket, squeeze((distinct[hot].astype(np.int64), sums[hot]))))
     return _slices(rows)
 
 
@@ -277,11 +361,12 @@ def _empty(names: list[str], kinds: list) -> pa.Table:
     return pa.table([pa.array([], k) for k in kinds], names=names)
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = df.sparkSession
     n_buckets = buckets_for(spark, text_bytes(df, text_col))
-    groups = pack_groups(df, id_col, text_col, "katz-texts").select("gid", "blob")
+    groups = pack_groups(df, id_col, text_col, "katz-tokens", tokens_of).select("gid", "blob")
+    asks = "bucket int, gid long, blob binary"
 
     def send(gid: int, blocks) -> pa.Table:
         bucket, blobs = zip(*blocks)
@@ -292,73 +377,84 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for gid, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield from send(gid, Group(blob.as_py(), n_buckets).word_blocks()).to_batches()
 
-    asked = groups.mapInArrow(send_words, "bucket int, gid long, blob binary")
-    words = written(asked.groupBy("bucket").applyInArrow(_count_words, _SLICE), "katz-words")
-    parts = _gather(words, STATS)
-    stats = {"V": sum(p[0] for p in parts), "N": sum(p[1] for p in parts), "words": sum((p[2] for p in parts), np.zeros(K + 1, np.int64)), "D": sum(p[3] for p in parts)}
+    def answers(asked: DataFrame, count, name: str) -> DataFrame:
+        return written(asked.groupBy("bucket").applyInArrow(count, _SLICE), name, ["kind"])
+
+    tables = [answers(groups.mapInArrow(send_words, asks), _count_words, "katz-words")]
+    parts = _gather(tables[0])
+    stats: dict = {"V": sum(p[0] for p in parts), "N": sum(p[1] for p in parts), "counts": [sum((p[2] for p in parts), np.zeros(K + 1, np.int64))], "hot": []}
+    documents = sum(p[3] for p in parts)
     hot = max(HOT_COUNT, stats["N"] // HOT_CONTEXTS)
-    documents = stats["D"]
-
-    def rebuilt(left: pa.Table, slices: pa.Table) -> tuple[Group, dict]:
-        group = Group(left.column("blob")[0].as_py(), n_buckets)
-        by_kind = {WORDS: {}, PAIRS: {}}
-        for kind, bucket, blob in zip(slices.column("kind").to_pylist(), slices.column("bucket").to_pylist(), slices.column("blob")):
-            by_kind[kind][bucket] = blob.as_py()
-        group.learn_words(by_kind[WORDS])
-        group.make_pairs(documents, hot)
-        return group, by_kind[PAIRS]
-
-    def send_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows:
-            group, _ = rebuilt(left, right)
-            blocks = list(group.pair_blocks())
-            if blocks:
-                return send(left.column("gid")[0].as_py(), blocks)
-        return _empty(["bucket", "gid", "blob"], [pa.int32(), pa.int64(), pa.binary()])
-
-    word_slices = words.where(F.col("kind") == WORDS)
-    asked = groups.groupBy("gid").cogroup(word_slices.groupBy("gid")).applyInArrow(send_pairs, "bucket int, gid long, blob binary")
-    pairs = written(asked.groupBy("bucket").applyInArrow(_count_pairs, _SLICE), "katz-pairs")
-    stats["pairs"] = sum(_gather(pairs, STATS), np.zeros(K + 1, np.int64))
-    stats["unknown"] = 1 - (stats["N"] - ((1 - discounts(stats["words"])) * np.arange(1, K + 1) * stats["words"][:K]).sum()) / (stats["N"] + 1)
-    hot_parts = _gather(pairs, HOT)
-    stats["hot"], where = np.unique(np.concatenate([np.empty(0, np.int64), *(p[0] for p in hot_parts)]), return_inverse=True)
-    stats["hot_sums"] = np.zeros((len(stats["hot"]), 2 * K + 2), np.int64)
-    np.add.at(stats["hot_sums"], where, np.concatenate([np.empty((0, 2 * K + 2), np.int64), *(p[1] for p in hot_parts)]))
+    first = stats["counts"][0]
+    stats["unknown"] = 1 - (stats["N"] - ((1 - discounts(first)) * np.arange(1, K + 1) * first[:K]).sum()) / (stats["N"] + 1)
+
+    def rebuilt(left: pa.Table, right: pa.Table, hot_sums: list) -> Group:
+        group = Group(left.column("blob")[0].as_py(), n_buckets, documents, hot)
+        by_level: dict[int, dict[int, bytes]] = {}
+        for level, bucket, blob in zip(right.column("level").to_pylist(), right.column("bucket").to_pylist(), right.column("blob")):
+            by_level.setdefault(level, {})[bucket] = blob.as_py()
+        group.learn_words(by_level[0])
+        for level, sums in enumerate(hot_sums, 1):
+            top = group.add_level()
+            top.learn(by_level.get(level, {}))
+            top.learn_hot(*sums)
+        return group
+
+    def with_slices():
+        slices = None
+        for level, t in enumerate(tables):
+            part = t.where(F.col("kind") == ANSWER).select("gid", F.lit(level).alias("level"), "bucket", "blob")
+            slices = part if slices is None else slices.unionByName(part)
+        return groups.groupBy("gid").cogroup(slices.groupBy("gid"))
+
+    def sender(hot_sums: list):
+        def send_grams(left: pa.Table, right: pa.Table) -> pa.Table:
+            blocks = list(rebuilt(left, right, hot_sums).add_level().blocks()) if left.num_rows else []
+            return send(left.column("gid")[0].as_py(), blocks) if blocks else _empty(["bucket", "gid", "blob"], [pa.int32(), pa.int64(), pa.binary()])
+
+        return send_grams
+
+    for level in range(1, order):
+        tables.append(answers(with_slices().applyInArrow(sender(list(stats["hot"])), asks), _count_grams, f"katz-order-{level + 1}"))
+        stats["counts"].append(sum((p[0] for p in _gather(tables[-1])), np.zeros(K + 1, np.int64)))
+        stats["hot"].append(_hot_sums(tables[-1]))
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _empty(names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])
-        group, slices = rebuilt(left, right)
-        return pa.table(group.scores(slices, stats), names=names)
+        return pa.table(rebuilt(left, right, stats["hot"]).scores(stats), names=names)
 
-    slices = word_slices.unionByName(pairs.where(F.col("kind") == PAIRS))
-    scored = groups.groupBy("gid").cogroup(slices.groupBy("gid")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = with_slices().applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(int(stats["N"])).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _gather(slices: DataFrame, kind: int) -> list:
-    """The parts of one small kind, summed by task before they reach the driver."""
+def _gather(slices: DataFrame) -> list:
+    """The counts of counts of a table, one small row a bucket in files of their own, summed by task before they reach the driver."""
 
     def add(batches):
         total = None
         for batch in batches:
             for blob in batch.column(0):
                 part = unsqueeze(blob.as_py())
-                total = part if total is None else _plus(kind, total, part)
+                total = part if total is None else tuple(x + y for x, y in zip(total, part))
         if total is not None:
             yield pa.RecordBatch.from_pydict({"blob": [squeeze(total)]})
 
-    found = slices.where(F.col("kind") == kind).select("blob").coalesce(64).mapInArrow(add, "blob binary")
-    return [unsqueeze(r.blob) for r in found.collect()]
+    return [unsqueeze(r.blob) for r in slices.where(F.col("kind") == STATS).select("blob").mapInArrow(add, "blob binary").collect()]
+
+
+def _hot_sums(slices: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts dealt out, HOT_CONTEXTS at most, and their sums over all buckets."""
 
+    def rows(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                numbers, sums = unsqueeze(blob.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), *[pa.array(c) for c in sums.T.copy()]], names=names)
 
-def _plus(kind: int, a, b):
-    if kind == HOT:
-        number, where = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-        sums = np.zeros((len(number), 2 * K + 2), np.int64)
-        np.add.at(sums, where, np.concatenate([a[1], b[1]]))
-        return number, sums
-    return tuple(x + y for x, y in zip(a, b)) if isinstance(a, tuple) else a + b
+    names = ["number", *[f"s{k}" for k in range(2 * K + 2)]]
+    parts = slices.where(F.col("kind") == HOT).select("blob").mapInArrow(rows, ", ".join(f"{n} long" for n in names))
+    found = parts.groupBy("number").agg(*[F.sum(n).alias(n) for n in names[1:]]).toArrow().sort_by("number")
+    return found.column("number").to_numpy().astype(np.int64), np.stack([found.column(n).to_numpy() for n in names[1:]], 1).astype(np.int64)

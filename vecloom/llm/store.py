@@ -132,10 +132,10 @@ def buckets_for(spark: SparkSession, total_bytes: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // BUCKET_BYTES), 1)
 
 
-def pack_groups(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+def pack_groups(df: DataFrame, id_col: str, text_col: str, name: str, packed=lambda ids, texts: (ids, texts)) -> DataFrame:
     """Documents packed in input order into groups of about GROUP_BYTES: rows (gid, n_bytes, blob).
 
-    The blob holds ids (None where null) and UTF-8 texts (b'' where null). A
+    The blob holds what packed makes of ids (None where null) and UTF-8 texts (b'' where null). A
     group is written once, so its id and order stay the same for every later
     stage. A text longer than a group is a group of its own.
     """
@@ -159,7 +159,7 @@ def pack_groups(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFra
     def one(gid, ids, texts, size):
         import pyarrow as pa
 
-        return pa.RecordBatch.from_pydict({"gid": [gid], "n_bytes": [size], "blob": [squeeze((ids, texts))]})
+        return pa.RecordBatch.from_pydict({"gid": [gid], "n_bytes": [size], "blob": [squeeze(packed(ids, texts))]})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return written(rows.mapInArrow(pack, "gid long, n_bytes long, blob binary"), name)
