@@ -365,7 +365,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ord
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = df.sparkSession
     n_buckets = buckets_for(spark, text_bytes(df, text_col))
-    groups = pack_groups(df, id_col, text_col, "katz-tokens", tokens_of).select("gid", "blob")
+    groups = pack_groups(df, id_col, text_col, "katz-tokens", tokens_of, by_gid=True).select("gid", "blob")
     asks = "bucket int, gid long, blob binary"
 
     def send(gid: int, blocks) -> pa.Table:

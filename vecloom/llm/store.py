@@ -55,6 +55,24 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def bucketed(df: DataFrame, name: str, col: str) -> DataFrame:
+    """df, written once as Parquet in the shared folder, dealt by col as a shuffle would: joins and groups by it move the other side alone."""
+    spark = df.sparkSession
+    path, entry = shared_dir(spark, name), f"vecloom_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.repartition(n, col).write.format("parquet").option("path", path).bucketBy(n, col).saveAsTable(entry)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.table(entry)
+    out.schema  # resolved here, as the entry in the catalog goes; the files stay
+    spark.sql(f"DROP TABLE {entry}")
+    out._vecloom_path = path
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables made by written() that nothing will read again."""
     for df in frames:
@@ -132,12 +150,13 @@ def buckets_for(spark: SparkSession, total_bytes: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // BUCKET_BYTES), 1)
 
 
-def pack_groups(df: DataFrame, id_col: str, text_col: str, name: str, packed=lambda ids, texts: (ids, texts)) -> DataFrame:
+def pack_groups(df: DataFrame, id_col: str, text_col: str, name: str, packed=lambda ids, texts: (ids, texts), by_gid: bool = False) -> DataFrame:
     """Documents packed in input order into groups of about GROUP_BYTES: rows (gid, n_bytes, blob).
 
     The blob holds what packed makes of ids (None where null) and UTF-8 texts (b'' where null). A
     group is written once, so its id and order stay the same for every later
-    stage. A text longer than a group is a group of its own.
+    stage. A text longer than a group is a group of its own. by_gid: the table is
+    dealt by gid once, for stages that bring answers to the groups.
     """
 
     def pack(batches):
@@ -162,4 +181,5 @@ def pack_groups(df: DataFrame, id_col: str, text_col: str, name: str, packed=lam
         return pa.RecordBatch.from_pydict({"gid": [gid], "n_bytes": [size], "blob": [squeeze(packed(ids, texts))]})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(pack, "gid long, n_bytes long, blob binary"), name)
+    groups = rows.mapInArrow(pack, "gid long, n_bytes long, blob binary")
+    return bucketed(groups, name, "gid") if by_gid else written(groups, name)
