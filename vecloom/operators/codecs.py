@@ -193,13 +193,19 @@ class BinaryHamming(Binary):
     name = "binary-hamming"
 
     def differing(self, queries, codes):
-        table = np.array([bin(b).count("1") for b in range(256)], np.int64)
-        q = _bits(self.check(queries) > 0)
-        return np.stack([table[codes ^ row].sum(1) for row in q]) if len(q) else np.empty((0, len(codes)))
+        def words(x):  # 64 bits each, the last filled up
+            x = np.ascontiguousarray(np.pad(x, ((0, 0), (0, -x.shape[1] % 8))))
+            return x.view(np.uint64)
+
+        q, c = words(_bits(self.check(queries) > 0)), words(np.asarray(codes, np.uint8))
+        out = np.zeros((len(q), len(c)), np.uint16)
+        for k in range(q.shape[1]):
+            out += np.bitwise_count(q[:, k, None] ^ c[None, :, k])
+        return out
 
     def scores(self, queries, codes, metric):
-        near = np.cos(np.pi * self.differing(queries, codes) / self.dim)
-        return 2 - 2 * near if metric is Metric.L2 else near
+        near = np.cos(np.pi * np.arange(self.dim + 1) / self.dim)
+        return (2 - 2 * near if metric is Metric.L2 else near)[self.differing(queries, codes)]
 
     def score_col(self, query_code: Column, code: Column, metric: Metric) -> Column:
         differ = F.aggregate(F.zip_with(query_code, code, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)

@@ -134,6 +134,8 @@ def _register_tops():
         ORACLES[name] = top_sql(metric, DECODED[codec], score)
     for codec in ("pq8", "mixed8-pca", "mixed8-pca-w", "mrl32+int8", "mrl32+binary-centred"):
         QUERIES[f"{codec.replace('-', '_').replace('+', '_')}_topk_cosine"] = lambda s, d, c=codec: _top(s, d, "cosine", c)
+    ORACLES["mrl32_int8_topk_cosine"] = top_sql("cosine", INT8_SQL.replace("FROM embeddings", "FROM (SELECT vec_id, embedding[1:32] AS embedding FROM embeddings)"), cosine_sql("qv[1:32]", "w"))
+    ORACLES["mrl32_binary_centred_topk_cosine"] = top_sql("cosine", CENTRED_SQL.replace("FROM e)", "FROM e32)").replace("FROM e, mv", "FROM e32, mv").replace("range(1, 65)", "range(1, 33)").replace("mu AS", "e32 AS (SELECT vec_id, v[1:32] AS v FROM e), mu AS", 1), cosine_sql("qv[1:32]", "w"))
 
 
 _register_tops()
@@ -359,3 +361,4 @@ def rescore_calibrated(spark, d):
 
 
 from vecloom import registry_text  # noqa: E402,F401  registers the rest
+from vecloom import registry_pipelines  # noqa: E402,F401

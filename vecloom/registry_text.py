@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import text as T
 from vecloom.operators import memory, recall, runs
 from vecloom.plans import analytics
-from vecloom.registry import K, _per_query_sql, _ranked_sql, _traces, query, r6
+from vecloom.registry import K, ORACLES, _per_query_sql, _ranked_sql, _traces, query, r6
 from vecloom.session import table
 from vecloom.sources import catalog, formats
 
@@ -63,13 +63,13 @@ def score_answers(spark, d):
     return table(spark, d, "benchmark").select("item_id", exact.alias("exact"), contains.alias("contains"))
 
 
-_SOURCES = "[('/data/corpus/14717.txt'), ('14717.txt'), ('a\\b\\c.tar.gz'), ('.hidden'), ('plain'), ('dir.d/name'), ('x/'), ('.a.b')]"
+_SOURCE_OF = "CASE doc_id % 6 WHEN 0 THEN '/data/corpus/' || doc_id || '.txt' WHEN 1 THEN source || '\\' || doc_id || '.tar.gz' WHEN 2 THEN '.hidden' || doc_id WHEN 3 THEN 'dir.d/name' || doc_id WHEN 4 THEN source || '/' ELSE '.a.b' || doc_id END"
 
 
-@query("SELECT * FROM (VALUES ('/data/corpus/14717.txt', '14717'), ('14717.txt', '14717'), ('a\\b\\c.tar.gz', 'c.tar'), ('.hidden', '.hidden'), ('plain', 'plain'), ('dir.d/name', 'name'), ('x/', ''), ('.a.b', '.a')) t(source, doc)")
+@query(f"WITH s AS (SELECT doc_id, {_SOURCE_OF} AS source FROM documents) SELECT source, CASE doc_id % 6 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN doc_id || '.tar' WHEN 2 THEN '.hidden' || doc_id WHEN 3 THEN 'name' || doc_id WHEN 4 THEN '' ELSE '.a' END AS doc FROM s")
 def doc_id(spark, d):
-    rows = ["/data/corpus/14717.txt", "14717.txt", "a\\b\\c.tar.gz", ".hidden", "plain", "dir.d/name", "x/", ".a.b"]
-    return spark.createDataFrame([(r,) for r in rows], "source string").select("source", T.doc_id(F.col("source")).alias("doc"))
+    rows = table(spark, d, "documents").select(F.expr(_SOURCE_OF.replace("'\\'", "'\\\\'")).alias("source"))
+    return rows.select("source", T.doc_id(F.col("source")).alias("doc"))
 
 
 @query("WITH s AS (SELECT page_id, url, regexp_extract(url, '([^/\\\\]*)$', 1) AS n FROM pages) SELECT page_id, CASE WHEN regexp_extract(n, '^(.+)\\.[^.]*$', 1) <> '' THEN regexp_extract(n, '^(.+)\\.[^.]*$', 1) ELSE n END AS doc FROM s")
@@ -81,28 +81,28 @@ _PASSAGES = "SELECT conv_id, list({x} ORDER BY turn) AS p FROM conversations WHE
 
 
 @query(
-    "WITH h AS (SELECT conv_id, string_agg('[' || i || '] (source: conv' || conv_id || ', chunk ' || turn || ')' || chr(10) || trim(text) || chr(10) || chr(10), '' ORDER BY turn) AS b FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role = 'assistant') GROUP BY conv_id), "
+    "WITH h AS (SELECT conv_id, string_agg('[' || i || '] (source: conv' || conv_id || ', chunk ' || turn || ')' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10), '' ORDER BY turn) AS b FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role = 'assistant') GROUP BY conv_id), "
     "q AS (SELECT conv_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) "
-    "SELECT conv_id, md5(CASE WHEN b IS NULL THEN 'No context passages were retrieved.' || chr(10) || chr(10) ELSE 'Context passages:' || chr(10) || chr(10) || b END || 'Question: ' || trim(question)) AS prompt_md5 FROM q LEFT JOIN h USING (conv_id)"
+    "SELECT conv_id, md5(CASE WHEN b IS NULL THEN 'No context passages were retrieved.' || chr(10) || chr(10) ELSE 'Context passages:' || chr(10) || chr(10) || b END || 'Question: ' || regexp_replace(question, '^\\s+|\\s+$', '', 'g')) AS prompt_md5 FROM q LEFT JOIN h USING (conv_id)"
 )
 def build_prompt(spark, d):
     c = table(spark, d, "conversations")
-    hits = c.where("role = 'assistant'").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["turn"].alias("ordinal"), x["text"].alias("text"))).alias("h"))
+    hits = c.where("role = 'assistant'").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["turn"].alias("ordinal"), F.concat(F.lit("\n\t "), x["text"], F.lit(" \n\n")).alias("text"))).alias("h"))
     asked = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
     rows = asked.join(hits, "conv_id", "left")
     full = F.transform(F.coalesce("h", F.array().cast("array<struct<ordinal:bigint,text:string>>")), lambda x: F.struct(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("source"), x["ordinal"].alias("ordinal"), x["text"].alias("text")))
-    return rows.select("conv_id", F.md5(T.user_prompt(full, F.col("question"))).alias("prompt_md5"))
+    return rows.select("conv_id", F.md5(T.user_prompt(full, F.concat(F.lit("\n"), F.col("question"), F.lit("\r\n")))).alias("prompt_md5"))
 
 
 @query(
-    "SELECT item_id, md5('Question: ' || trim(text) || chr(10) || chr(10) || 'Retrieved passages:' || chr(10) || CASE WHEN item_id % 2 = 0 THEN '(none)' || chr(10) ELSE '[1] ' || trim(text) || chr(10) || '[2] second' || chr(10) END || chr(10) || 'Gold answers: ' "
-    "|| CASE WHEN item_id % 3 = 0 THEN '(none; output null for correct)' ELSE '\"yes\", \"no\"' END || chr(10) || chr(10) || 'System answer: ' || trim(text) || chr(10) || chr(10) || 'Reply with the JSON object only.') AS prompt_md5 FROM benchmark"
+    "SELECT item_id, md5('Question: ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || 'Retrieved passages:' || chr(10) || CASE WHEN item_id % 2 = 0 THEN '(none)' || chr(10) ELSE '[1] ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || '[2] second' || chr(10) END || chr(10) || 'Gold answers: ' "
+    "|| CASE WHEN item_id % 3 = 0 THEN '(none; output null for correct)' ELSE '\"yes\", \"no\"' END || chr(10) || chr(10) || 'System answer: ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || 'Reply with the JSON object only.') AS prompt_md5 FROM benchmark"
 )
 def build_judge_prompt(spark, d):
-    none = F.array().cast("array<string>")
-    passages = F.when(F.col("item_id") % 2 == 0, none).otherwise(F.array(F.col("text"), F.lit(" second ")))
+    none, x = F.array().cast("array<string>"), F.concat(F.lit(" \n"), F.col("text"), F.lit("\n"))
+    passages = F.when(F.col("item_id") % 2 == 0, none).otherwise(F.array(x, F.lit(" second\n")))
     gold = F.when(F.col("item_id") % 3 == 0, none).otherwise(F.array(F.lit("yes"), F.lit("no")))
-    return table(spark, d, "benchmark").select("item_id", F.md5(T.judge_prompt(F.col("text"), gold, passages, F.col("text"))).alias("prompt_md5"))
+    return table(spark, d, "benchmark").select("item_id", F.md5(T.judge_prompt(x, gold, passages, x)).alias("prompt_md5"))
 
 
 _REPLIES = [
@@ -121,16 +121,27 @@ def _lit(x) -> str:
     return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_lit(v)}, CAST({_lit(c)} AS BOOLEAN), CAST({_lit(f)} AS BOOLEAN), CAST({_lit(r)} AS VARCHAR))" for i, (_, v, c, f, r) in enumerate(_REPLIES)) + ") t(n, valid, correct, faithful, reason)")
+def _by_reply(values: list[str], of: str = "n") -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query(
+    f"WITH n AS (SELECT doc_id, doc_id % {len(_REPLIES)} AS n FROM documents) SELECT doc_id, {_by_reply([_lit(r[1]) for r in _REPLIES])} AS valid, CAST({_by_reply([_lit(r[2]) for r in _REPLIES])} AS BOOLEAN) AS correct, "
+    f"CAST({_by_reply([_lit(r[3]) for r in _REPLIES])} AS BOOLEAN) AS faithful, CAST({_by_reply([_lit(r[4]) for r in _REPLIES])} AS VARCHAR) AS reason FROM n"
+)
 def parse_verdict(spark, d):
-    rows = spark.createDataFrame([(i, r[0]) for i, r in enumerate(_REPLIES)], "n int, reply string")
-    return rows.select("n", T.parse_verdict(F.col("reply")).alias("v")).select("n", "v.*")
+    """A judge's reply about each document, after the document's own words where those hold no brace."""
+    replies = F.array(*[F.lit(r[0]) for r in _REPLIES])
+    said = F.concat(F.translate(F.substring("text", 1, 80), "{}", "  "), F.lit("\n"), F.get(replies, (F.col("doc_id") % len(_REPLIES)).cast("int")))
+    return table(spark, d, "documents").select("doc_id", T.parse_verdict(said).alias("v")).select("doc_id", "v.*")
 
 
-@query("SELECT doc_id, 'query: ' || text = 'query: ' || text AS same, length('passage: ' || text)::BIGINT AS chars FROM documents")
+@query("SELECT doc_id, md5('query: ' || text) AS query_md5, md5('passage: ' || text) AS passage_md5 FROM documents")
 def embedding_prefixes(spark, d):
-    q, p = F.concat(F.lit("query: "), F.col("text")), F.concat(F.lit("passage: "), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", (q == F.concat(F.lit("query: "), F.col("text"))).alias("same"), F.length(p).cast("bigint").alias("chars"))
+    from vecloom.sources.embedding import prefixed
+
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(prefixed(text, "query: ")).alias("query_md5"), F.md5(prefixed(text, "passage: ")).alias("passage_md5"))
 
 
 @query(f"SELECT item_id, '{formats.CLAIM_QUESTION}' || text AS question FROM benchmark")
@@ -138,11 +149,11 @@ def scifact_question(spark, d):
     return table(spark, d, "benchmark").select("item_id", formats.scifact_question(F.col("text")).alias("question"))
 
 
-@query("SELECT item_id, CASE WHEN item_id % 4 = 0 THEN trim(text) WHEN item_id % 4 = 1 THEN 'item ' || item_id ELSE 'item ' || item_id || chr(10) || chr(10) || trim(text) END || chr(10) AS body FROM benchmark")
+@query("SELECT item_id, CASE WHEN item_id % 4 = 0 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') WHEN item_id % 4 = 1 THEN 'item ' || item_id ELSE 'item ' || item_id || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') END || chr(10) AS body FROM benchmark")
 def corpus_bodies(spark, d):
     n = F.col("item_id") % 4
     title = F.when(n == 0, "").otherwise(F.concat(F.lit(" item "), F.col("item_id").cast("string")))
-    return table(spark, d, "benchmark").select("item_id", formats.corpus_body(title, F.when(n == 1, "  ").otherwise(F.col("text"))).alias("body"))
+    return table(spark, d, "benchmark").select("item_id", formats.corpus_body(title, F.when(n == 1, " \n ").otherwise(F.concat(F.lit("\n"), F.col("text"), F.lit("\n\n")))).alias("body"))
 
 
 @query()
@@ -152,11 +163,20 @@ def payload_extractive(spark, d):
     return table(spark, d, "documents").crossJoin(question).select("doc_id", T.compress_extractive(F.col("text"), F.col("q"), 60).alias("passage"))  # one row on the right
 
 
-@query()
+_FNV = "list_reduce(list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"
+
+
+@query(
+    "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS t FROM documents), c AS (SELECT doc_id, lower(t) AS w, count(*) AS n FROM t GROUP BY ALL), "
+    f"h AS (SELECT w, {_FNV} AS h FROM (SELECT DISTINCT w FROM c)), p AS (SELECT doc_id, (h % 64)::BIGINT AS slot, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -n ELSE n END)::DOUBLE AS x FROM c JOIN h USING (w) GROUP BY ALL), "
+    "l AS (SELECT doc_id, sqrt(sum(x * x))::FLOAT AS l FROM p GROUP BY doc_id) SELECT doc_id, slot, round((x::FLOAT / l)::FLOAT::DOUBLE, 5) + 0.0 AS value FROM p JOIN l USING (doc_id) WHERE x <> 0"
+)
 def hash_embeddings(spark, d):
+    """The components that are not zero."""
     from vecloom.sources.embedding import hash_embeddings as embed
 
-    return embed(table(spark, d, "documents"), "doc_id", "text", 64)
+    rows = embed(table(spark, d, "documents"), "doc_id", "text", 64).select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("slot", "value"))
+    return rows.where("value <> 0").select("doc_id", F.col("slot").cast("bigint").alias("slot"), (F.round(F.col("value").cast("double"), 5) + 0.0).alias("value"))
 
 
 # -- judgments, questions, catalog ----------------------------------------------------------------------------------
@@ -442,12 +462,13 @@ def hybrid_time(spark, d):
     return table(spark, d, "benchmark").select("item_id", r6(analytics.hybrid_time(F.lit(0.718), F.col("item_id"), F.lit(207))).alias("ms"))
 
 
-_CELLS = "x AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'f32' ELSE 'int8' END AS codec, n_chars FROM documents WHERE doc_id % 20 > 1)"
+_CELLS = "x AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 AND source NOT LIKE '%1' THEN 'f32' ELSE 'int8' END AS codec, n_chars FROM documents)"
 
 
 @query(f"WITH {_CELLS} SELECT a.*, b.ceiling FROM x a LEFT JOIN (SELECT source, max(n_chars) AS ceiling FROM x WHERE codec = 'f32' GROUP BY source) b USING (source)")
 def cells_with_ceiling(spark, d):
-    rows = table(spark, d, "documents").where("doc_id % 20 > 1").select("doc_id", "source", F.when(F.col("doc_id") % 3 == 0, "f32").otherwise("int8").alias("codec"), "n_chars")
+    """Sources that end in 1 have no f32 cell, so no ceiling."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.when((F.col("doc_id") % 3 == 0) & ~F.col("source").endswith("1"), "f32").otherwise("int8").alias("codec"), "n_chars")
     return analytics.with_ceiling(rows, "source", "codec", "n_chars")
 
 
@@ -473,9 +494,9 @@ def source_hit(spark, d):
     return table(spark, d, "pages").select("page_id", recall.source_hit(judged, F.array("url"), F.lit("example.com")).alias("hit"))
 
 
-@query()
+@query(ORACLES["memory_asof_topk"])
 def memory_stream(spark, d):
     """The script as a stream: writes append to a store, asks are answered from what came before."""
     from vecloom.streaming.memory import replay_conversations
 
-    return replay_conversations(spark, d)
+    return replay_conversations(spark, d).select("conv_id", "ask_step", "write_step", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))

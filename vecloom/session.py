@@ -48,6 +48,16 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._vecloom_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a temporary one, any other is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/vecloom-shared"
+    return base.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, read whole; Catalyst prunes columns and pushes filters."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

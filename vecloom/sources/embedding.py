@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 import re
@@ -12,7 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the 64-bit FNV-1a hash.
@@ -26,13 +28,22 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+#: Letters with their dependent signs, and digits.
+_WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
+
+
+@functools.lru_cache(1 << 16)
+def _hashed(word: str) -> int:
+    return fnv1a(word.lower().encode())
+
+
 def hash_embed(text: str, dim: int) -> np.ndarray:
     """Signed counts of hashed words (letters and digits, lower case), to unit length."""
     v = np.zeros(dim, np.float32)
-    for word in re.split(r"[\W_]+", text):
-        if word:
-            h = fnv1a(word.lower().encode())
-            v[h % dim] += -1.0 if h >> 63 else 1.0
+    places = [_hashed(word) for word in _WORD.findall(text)]
+    if places:
+        h = np.array(places, np.uint64)
+        np.add.at(v, (h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), np.float32(-1), np.float32(1)))
     n = np.sqrt((v * v).sum(dtype=np.float32))
     return v / n if n else v
 
@@ -48,6 +59,11 @@ def embed_frame(df: DataFrame, id_col: str, text_col: str, embed) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, "id long, vector array<float>")
 
 
+def prefixed(text: Column, prefix: str) -> Column:
+    """What a model that tells queries from passages is sent; an empty prefix leaves the text as it is."""
+    return F.concat(F.lit(prefix), text) if prefix else text
+
+
 def hash_embeddings(df: DataFrame, id_col: str, text_col: str, dim: int, prefix: str = "") -> DataFrame:
     return embed_frame(df, id_col, text_col, lambda texts: [hash_embed(prefix + t, dim) for t in texts])
 

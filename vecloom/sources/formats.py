@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions.text import collapse_spaces
+from vecloom.functions.text import collapse_spaces, trimmed
 
 QUESTION = "id string, question string, query string, answers array<string>, source string, relevant array<string>"
 STEP = "id string, write string, ask string, answers array<string>, source string"
@@ -21,7 +21,7 @@ class FormatError(ValueError):
 
 def _json_lines(spark: SparkSession, path: str, schema: str, what: str) -> DataFrame:
     """Rows of a JSON-lines file, # comments and blank lines left out; a broken line or a repeated id is an error."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    lines = spark.read.text(path).where((trimmed(F.col("value")) != "") & ~trimmed(F.col("value")).startswith("#"))
     rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), "value")
     bad = rows.where(F.col("r.id").isNull()).limit(1).collect()
     if bad:
@@ -63,7 +63,7 @@ def read_memory_script(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_query_lines(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path).select(F.trim("value").alias("query")).where("query <> ''")
+    rows = spark.read.text(path).select(trimmed(F.col("value")).alias("query")).where("query <> ''")
     if rows.isEmpty():
         raise FormatError("no query in the file")
     return rows
@@ -118,7 +118,7 @@ def verdict_answers(label: Column) -> Column:
 
 def corpus_body(title: Column, text: Column) -> Column:
     """title, blank line, text, each trimmed, and a line feed; an empty part leaves nothing."""
-    t, x = F.trim(title), F.trim(text)
+    t, x = trimmed(title), trimmed(text)
     return F.concat(F.when(t == "", x).when(x == "", t).otherwise(F.concat(t, F.lit("\n\n"), x)), F.lit("\n"))
 
 

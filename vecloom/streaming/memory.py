@@ -7,7 +7,6 @@ result equals the batch as-of join.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.text import normalize_answer, words
 from vecloom.operators.memory import as_of_top_k, steps
+from vecloom.session import shared_folder
 
 STEP = "conv_id long, step_index long, step string, w array<string>"
 ANSWER = "conv_id long, ask_step long, write_step long, score double, rank int"
@@ -46,7 +46,7 @@ def run_stream(spark: SparkSession, source: str, store: str, out: str, checkpoin
 
 def replay_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as two files of steps, streamed: (conv_id, ask_step, write_step, score, rank)."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/vecloom-shared").rstrip("/") + f"/memory-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}"
     rows = prepared(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     half = F.col("step_index") <= 3
     rows.where(half).coalesce(1).write.parquet(f"{base}/steps")
