@@ -55,7 +55,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.ann import nearest
 
-    return nearest(table(spark, sf_dir, "embeddings"))
+    return nearest(table(spark, sf_dir, "embeddings")).drop("query_row")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
