@@ -47,8 +47,16 @@ def test_min_bytes_and_empty(spark):
     assert warc.dedup_archive(df.limit(0)).collect() == []
 
 
+def test_long_payloads_and_many_copies_in_several_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 7)
+    texts = {0: "a\n" * 300_000, 1: "é" * 2_000_000, 2: "\n\n\r\n", 3: None}
+    many = [(i, f"u{i}", texts.get(i % 9, "shared")) for i in range(60)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in many], "page_id long, url string, html string, first_id int, digest int")
+    assert got(warc.dedup_archive(df)) == want(many)
+
+
 def test_broken_archives_are_refused():
     with pytest.raises(ValueError):
         list(warc.parse([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"]))
     with pytest.raises(ValueError):
-        list(warc.inflate(b"\x1f\x8b\x08\x00"))
+        list(warc.parse([b"WARC/1.1\r\nContent-Length: 2\r\n\r\nabcd\r\n\r\n"]))
