@@ -42,7 +42,11 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector has no length."""
-    size = norm(a) * norm(b)
+    return cosine_of(a, b, norm(a) * norm(b))
+
+
+def cosine_of(a: Column, b: Column, size: Column) -> Column:
+    """The cosine, given the product of both lengths."""
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(size, F.lit(0.0)))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,7 +80,9 @@ def second_scores(approx: DataFrame, collection: DataFrame, queries: DataFrame,
                     continue
                 codes = second.encode(matrix(batch.column(2)))
                 at = [place[i] for i in batch.column(0).to_pylist()]
-                s = [second.scores(q.vectors[a : a + 1], codes[j : j + 1], metric)[0, 0] for j, a in enumerate(at)]
+                s, order = np.empty(len(at)), np.argsort(at, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(np.take(at, order))) + 1):  # a query's candidates at once
+                    s[own] = second.scores(q.vectors[at[own[0]]][None, :], codes[own], metric)[0]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["qid", "vec_id", "second"])
 
         pairs = approx.where(F.col("qid").isin(*q.ids.tolist())).select("qid", "vec_id").join(vectors, "vec_id").select("qid", "vec_id", "v")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.functions.vectors import Metric, matrix, score, score_blocks
+from vecloom.functions.vectors import Metric, cosine_of, matrix, norm, score, score_blocks
 from vecloom.operators.codecs import Codec
 
 QUERY_BLOCK = 2048
@@ -129,10 +129,14 @@ def top_k_sql(collection: DataFrame, queries: DataFrame, k: int, metric: Metric,
     """The same by built-in expressions alone; a block of queries at a time is sent to the collection."""
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     corpus, out = collection.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")), None
+    value = score(F.col("vector"), F.col("v"), metric)
+    if metric is Metric.COSINE:  # a vector's length is taken once, not for each pair
+        corpus, queries = corpus.withColumn("v_norm", norm(F.col("v"))), queries.withColumn("q_norm", norm(F.col("vector")))
+        value = cosine_of(F.col("vector"), F.col("v"), F.col("q_norm") * F.col("v_norm"))
     for b in range(n):
         block = queries if n == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b)
         pairs = corpus.crossJoin(F.broadcast(block)).where(~F.col("vec_id").eqNullSafe(F.col("exclude")))
-        part = pairs.select("qid", "vec_id", score(F.col("vector"), F.col("v"), metric).alias("score"))
+        part = pairs.select("qid", "vec_id", value.alias("score"))
         out = part if out is None else out.unionByName(part)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order_by_score(metric))))
     return ranked.where(F.col("rank") <= k).select("qid", "rank", "vec_id", "score")

@@ -7,6 +7,8 @@ touches no other.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,12 +98,23 @@ class Catalog:
     def delete(self, name: str) -> None:
         """The collection and its chunks, whose partition is dropped."""
         self.require(name)
-        rest = self.table("collections").where(F.col("name") != name).collect()  # a row a collection
-        self.spark.createDataFrame(rest, SCHEMAS["collections"]).coalesce(1).write.mode("overwrite").parquet(self._path("collections"))
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path('chunks')}/collection={name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._keep("collections", F.col("name") != name)
+        self._remove(f"{self._path('chunks')}/collection={name}")
         self.version += 1
 
+    def _remove(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def _keep(self, name: str, condition) -> None:
+        """Leaves the rows of a table that meet the condition: written aside in full before the old files go and theirs take the place."""
+        aside = f"{self._path(name)}-kept-{uuid.uuid4().hex}"
+        self.table(name).where(condition).coalesce(1).write.parquet(aside)
+        self._remove(self._path(name))
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        if not place(aside).getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(place(aside), place(self._path(name))):
+            raise CatalogError(f"the rows of {name!r} stand in {aside}")
+
     def insert_chunks(self, name: str, rows: DataFrame) -> None:
         """rows(source, ordinal, text, vector); ids go on from the collection's last, in the order of source and ordinal.
 
@@ -147,10 +160,8 @@ class Catalog:
         return with_counts(self.table("sessions"), self.table("messages"), "id", "session", "message_count")
 
     def delete_session(self, session: str) -> None:
-        rest = self.table("sessions").where(F.col("id") != session).collect()  # a row a session
-        self.spark.createDataFrame(rest, SCHEMAS["sessions"]).coalesce(1).write.mode("overwrite").parquet(self._path("sessions"))
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path('messages')}/session={session}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._keep("sessions", F.col("id") != session)
+        self._remove(f"{self._path('messages')}/session={session}")
 
     def insert_runs(self, rows: DataFrame) -> None:
         self.append("runs", rows)
