@@ -1,7 +1,10 @@
 import random
 import re
 
+import pytest
+
 from vecloom.llm import kernel, substring
+from vecloom.llm.store import buckets_for
 
 
 def brute(rows, w=13):
@@ -37,9 +40,9 @@ def rows_of(seed=1):
     return rows
 
 
-def check(spark, rows):
+def check(spark, rows, hot_bytes=substring.HOT_BYTES):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, bucket int").repartition(5)
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(df, hot_bytes=hot_bytes).collect()), key=str)
     assert got == brute(rows)
 
 
@@ -47,9 +50,22 @@ def test_matches_brute_force(spark):
     check(spark, rows_of())
 
 
+def packed(rows):
+    return substring.squeeze(([i for i, _ in rows], [(t or "").encode() for _, t in rows]))
+
+
+@pytest.mark.parametrize("share", [0, 0.5])
+def test_windows_of_heavy_buckets_travel_singly(spark, share):
+    rows = rows_of(3)
+    n_buckets = buckets_for(spark, sum(len((t or "").encode()) for _, t in rows))
+    _, sizes = substring.Group(packed(rows), n_buckets).sizes()
+    assert len(sizes) > 3
+    check(spark, rows, int(sorted(sizes)[int(share * len(sizes))]) if share else 0)
+
+
 def test_survives_hash_collisions(monkeypatch):
     rows = rows_of(2)[:50]
-    group = substring.Group(substring.squeeze(([i for i, _ in rows], [(t or "").encode() for _, t in rows])), 1)
+    group = substring.Group(packed(rows), 1).pack()
     import pyarrow as pa
 
     (bucket, blob), = group.blocks()
