@@ -76,8 +76,10 @@ def brute(rows, tau, per):
     return [(i, n, c, k, c in first and first[c] != (i, n)) for i, n, c, k in seen]
 
 
-@pytest.mark.parametrize("tau", [1, 2])
-def test_matches_all_pairs(spark, tau):
+@pytest.mark.parametrize("tau, clashing", [(1, False), (2, False), (2, True)])
+def test_matches_all_pairs(spark, monkeypatch, tau, clashing):
+    if clashing:
+        monkeypatch.setattr(lines, "_ID", "(xxhash64(line) & 30L)")
     rows = docs_of(tau, tau, 12)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, line_no int, key string").repartition(4)
     got = [tuple(r) for r in lines.line_classes(df, tau=tau, per=12).drop("row_key").collect()]

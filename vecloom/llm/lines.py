@@ -23,9 +23,11 @@ Defined results: lines are split at line feeds; blank ones and those of null
 texts are in no class (null class_id) and stay. Of a class, the occurrence with
 the smallest (doc_id, line_no) stays; repeated rows of a document keep the same
 lines; lines of rows with a null doc_id go if the class occurs under some id,
-else stay. class_id is the smallest 64-bit hash of the class's lines. An empty
-table gives no rows; lines of any length are read whole; other columns, whatever
-their names, come back unchanged from without_repeats().
+else stay. Lines are equal if their texts are: a hash that different lines share
+names none of them, a second one does. class_id is the smallest of the hashes
+that name the class's lines. An empty table gives no rows; lines of any length
+are read whole; other columns, whatever their names, come back unchanged from
+without_repeats().
 """
 
 from __future__ import annotations
@@ -137,20 +139,30 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 #: The lowest bit of a line's hash is left free to mark probes of equal length.
 _ID = "(xxhash64(line) & -2L)"
+_OTHER = "(xxhash64('other', line) & -2L)"
 
 
-def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, per: int = EDIT_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines that occur again or have a link, as (id, class_id, n_links); and all links (u, v)."""
+def _told_apart(df: DataFrame, clashes: DataFrame) -> DataFrame:
+    """df with other as id where several lines share the id."""
+    shared = clashes.select(F.col("id").alias("shared"))
+    return df.join(shared, F.col("id") == F.col("shared"), "left").withColumn("id", F.expr("if(shared is null, id, other)")).drop("shared", "other")
+
+
+def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, per: int = EDIT_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct lines that occur again or have a link, as (id, class_id, n_links); all links (u, v); and the hashes that
+    several lines share, which have another as id."""
     if tau < 1 or per < 2:
         raise ValueError("lines need an edit at least and two characters for each")
     lines = lines_of(df, id_col, text_col).where(F.expr("trim(line) <> ''"))
-    counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(F.expr(_ID).alias("id"), "line", "copies", F.length("line").alias("n"))
+    counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(F.expr(_ID).alias("id"), F.expr(_OTHER).alias("other"), "line", "copies", F.length("line").alias("n"))
     levels = range(1, tau + 1)
     own_of = "case " + " ".join(f"when {_permitting(t, tau, per, 'n')} then array({', '.join(_keys(t, 0, False))})" for t in levels) + " end"
-    distinct = written(counted.withColumn("own", F.expr(own_of)), "lines-distinct")
+    hashed = written(counted.withColumn("own", F.expr(own_of)), "lines-distinct")
+    clashes = written(hashed.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("id"), "lines-clashes")
+    distinct = _told_apart(hashed, clashes)
     long = distinct.where(F.col("n") >= per)
     own_keys = F.explode("own").alias("key")
-    crowded = written(long.select(own_keys).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "lines-crowded")
+    crowded = written(hashed.where(F.col("n") >= per).select(own_keys).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "lines-crowded")
     crowd = written(narrowed(long.select("id", own_keys), "key", crowded, "key").join(crowded, "key").select("id").distinct(), "lines-crowd")
     marked = _maybe(long, crowd).withColumn("sign", F.expr(f"if(held, {parities()}, null)"))
     own = marked.select("id", "sign", own_keys)
@@ -170,13 +182,14 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     degree = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     again = distinct.where("copies > 1").select("id").unionByName(degree.select("id")).distinct()
     known = again.join(degree, "id", "left").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return written(known, "lines-known"), links
+    return written(known, "lines-known"), links, clashes
 
 
 def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = THRESHOLD, per: int = EDIT_CHARS) -> DataFrame:
     """Per line of every row: doc_id, row_key, line_no, class_id, n_links, removed."""
-    known, _ = similar_lines(df, id_col, text_col, tau, per)
-    lines = lines_of(df, id_col, text_col).select("doc_id", "row_key", "line_no", F.expr(f"if(trim(line) <> '', {_ID}, null)").alias("id"))
+    known, _, clashes = similar_lines(df, id_col, text_col, tau, per)
+    lines = lines_of(df, id_col, text_col).select("doc_id", "row_key", "line_no", F.expr(f"if(trim(line) <> '', {_ID}, null)").alias("id"), F.expr(_OTHER).alias("other"))
+    lines = _told_apart(lines, clashes)
     hits = written(lines.where("id is not null").join(known, "id"), "lines-hits")
     firsts = written(hits.where("doc_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "lines-firsts")
     judged = hits.join(firsts, "class_id", "left").select("doc_id", "row_key", "line_no", "class_id", "n_links", F.expr("first is not null and not (doc_id <=> first.doc_id and line_no = first.line_no)").alias("removed"))
