@@ -112,3 +112,23 @@ def test_main_path_is_native(spark):
     plan = lines.line_classes(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert lines.line_classes(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("tau", [1, 2, 3])
+def test_probes_meet_the_segments_of_close_lines(spark, tau):
+    """And are made of plain columns in generated code: functions of array elements are interpreted, row after row."""
+    rng = random.Random(tau)
+    rows = []
+    for k in range(300):
+        long = "".join(rng.choice("ab😀é" if k % 2 else "abcd") for _ in range(rng.randrange(12 * tau, 14 * tau + 30)))
+        rows.append((k, long, edited(rng, long, rng.randrange(tau + 1), "abcé")))
+    rows = [(k, *sorted((a, b), key=len)) for k, a, b in rows if len(a) >= 12 and len(b) >= 12]
+    df = spark.createDataFrame(rows, "k long, short string, long string")
+    own = "case " + " ".join(f"when {lines._permitting(t, tau, 12, 'n')} then array({', '.join(lines._own(t))})" for t in range(1, tau + 1)) + " end"
+    short = df.selectExpr("k", "short as line", "length(short) as n").selectExpr("k", "n", f"explode({own}) as key")
+    probes = lines.probed(df.selectExpr("k * 2 as id", "length(long) as n", "long as line", "0L as sign"), tau, 12)
+    met = short.join(probes.selectExpr("shiftright(code, 1) as k", "key"), ["k", "key"]).select("k").distinct()
+    want = {k for k, a, b in rows if lev(a, b) <= min(tau, len(a) // 12)}
+    assert want and want <= {r.k for r in met.collect()}
+    plan = probes._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "*(1) Generate" in plan

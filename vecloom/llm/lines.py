@@ -52,19 +52,50 @@ def _segment(i: int, length: str, tau: int) -> tuple[str, str]:
     return start, f"({base} + if({i} > {parts} - {longer}, 1, 0))"
 
 
-def _keys(tau: int, shift: int, probe: bool) -> list[str]:
-    """SQL for the hashed segments of a line of length n as one of length n - shift: its own, or those it probes
-    (besides its own)."""
-    found, length = [], f"(n - {shift})"
+def _own(tau: int) -> list[str]:
+    """SQL for the hashed segments of a line."""
+    parts = [(i, *_segment(i, "n", tau)) for i in range(1, tau + 2)]
+    return [f"xxhash64(n, {i}, substring(line, {start}, {size}))" for i, start, size in parts]
+
+
+def _probes(tau: int, shift: int) -> list[tuple[int, int, int, int]]:
+    """What a line probes as one shorter by shift, which permits tau edits: (shift, number of the segment, of how many,
+    characters from its place)."""
+    found = []
     for i in range(1, tau + 2):
-        start, size = _segment(i, length, tau)
         low, high = max(1 - i, shift - (tau + 1 - i)), min(i - 1, shift + (tau + 1 - i))
-        for off in [o for o in range(low, high + 1) if o or shift] if probe else (0,):
-            at = f"({start} + {off})"
-            found.append(f"if({at} >= 1 and {at} + {size} <= n + 1, xxhash64({length}, {i}, substring(line, {at}, {size})), null)")
+        found += [(shift, i, tau + 1, off) for off in range(low, high + 1)]
     return found
 
 
+def _probes_of(tau: int, per: int) -> str:
+    """SQL: all that a line of n characters probes, as one array of constants for each range of n."""
+
+    def permits(n: int) -> int:
+        return min(tau, n // per)
+
+    edges = sorted({per * t + shift for t in range(1, tau + 1) for shift in range(t + 1)})
+    cases = []
+    for n in reversed(edges):
+        found = [p for shift in range(tau + 1) if permits(n - shift) >= max(shift, 1) for p in _probes(permits(n - shift), shift)]
+        rows = ", ".join(f"named_struct('shift', {a}, 'i', {i}, 'parts', {parts}, 'off', {off})" for a, i, parts, off in found)
+        cases.append(f"when n >= {n} then array({rows})")
+    return f"case {' '.join(cases)} end"
+
+
+def probed(lines: DataFrame, tau: int, per: int) -> DataFrame:
+    """lines(id, n, line, sign), one row for each segment probed: key, code (the id, its lowest bit set where the lines
+    sought are of the same length), sign. Plain columns only: functions of array elements would be interpreted."""
+    # Of a line of single bytes pieces are taken at once, of others by walking over the characters before them.
+    raw = F.expr("if(octet_length(line) = n, cast(line as binary), null)").alias("raw")
+    rows = lines.select("id", "n", "line", "sign", raw).select("id", "n", "line", "sign", "raw", F.inline(F.expr(_probes_of(tau, per))))
+    rows = rows.withColumn("length", F.expr("n - shift")).withColumn("base", F.expr("cast(length div parts as int)")).withColumn("longer", F.expr("length % parts"))
+    rows = rows.withColumn("at", F.expr("1 + (i - 1) * base + greatest(0, i - 1 - parts + longer) + off")).withColumn("size", F.expr("base + if(i > parts - longer, 1, 0)"))
+    rows = rows.where("at >= 1 and at + size <= n + 1")
+    piece = "if(raw is null, cast(substring(line, at, size) as binary), substring(raw, at, size))"
+    return rows.select(F.expr(f"xxhash64(length, i, {piece})").alias("key"), F.expr("if(shift = 0, id | 1L, id)").alias("code"), "sign")
+
+
 def _permitting(t: int, tau: int, per: int, length: str) -> str:
     """SQL: whether lines of that length permit t edits and no more."""
     return f"{length} >= {per * t}" + (f" and {length} < {per * (t + 1)}" if t < tau else "")
@@ -156,7 +187,7 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines_of(df, id_col, text_col).where(F.expr("trim(line) <> ''"))
     counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(F.expr(_ID).alias("id"), F.expr(_OTHER).alias("other"), "line", "copies", F.length("line").alias("n"))
     levels = range(1, tau + 1)
-    own_of = "case " + " ".join(f"when {_permitting(t, tau, per, 'n')} then array({', '.join(_keys(t, 0, False))})" for t in levels) + " end"
+    own_of = "case " + " ".join(f"when {_permitting(t, tau, per, 'n')} then array({', '.join(_own(t))})" for t in levels) + " end"
     hashed = written(counted.withColumn("own", F.expr(own_of)), "lines-distinct")
     clashes = written(hashed.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("id"), "lines-clashes")
     distinct = _told_apart(hashed, clashes)
@@ -166,12 +197,7 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowd = written(narrowed(long.select("id", own_keys), "key", crowded, "key").join(crowded, "key").select("id").distinct(), "lines-crowd")
     marked = _maybe(long, crowd).withColumn("sign", F.expr(f"if(held, {parities()}, null)"))
     own = marked.select("id", "sign", own_keys)
-    same = "case " + " ".join(f"when {_permitting(t, tau, per, 'n')} then array({', '.join(_keys(t, 0, True))})" for t in levels) + " end"
-    probes = [f"transform(concat(own, {same}), k -> struct(k as key, id | 1L as code))"]
-    for shift in levels:  # as lines shorter by shift, which permit t edits
-        cases = " ".join(f"when {_permitting(t, tau, per, f'(n - {shift})')} then transform(array({', '.join(_keys(t, shift, True))}), k -> struct(k as key, id as code))" for t in range(shift, tau + 1))
-        probes.append(f"case {cases} else array() end")
-    probe = marked.select("sign", F.explode(F.expr(f"concat({', '.join(probes)})")).alias("r")).select("r.key", "r.code", "sign").where("key is not null")
+    probe = probed(marked, tau, per)
     alike = f"coalesce(bit_count(o.sign ^ p.sign) <= {4 * tau}, true)"
     met = own.alias("o").join(probe.alias("p"), "key").where(f"o.id <> (p.code & -2L) and ((p.code & 1L) = 0 or o.id < (p.code & -2L)) and {alike}")
     pairs = written(met.select(F.col("o.id").alias("u"), F.expr("p.code & -2L").alias("v")).distinct(), "lines-pairs")
