@@ -94,3 +94,10 @@ def test_repeats_crowd_no_label_out_and_all_passages_count(spark):
     finally:
         quality.Model.fit = real
     assert len(seen[0]) == 20 and max(map(len, seen[0])) == -(-6000 // quality.PASSAGE_WORDS)
+
+
+def test_driver_gives_the_fit_s_memory_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(quality, "tidy", lambda: calls.append(1), raising=False)
+    d = sample_dir("sf0.001")
+    assert quality.fit(table(spark, d, "documents"), table(spark, d, "labels")) is not None and calls

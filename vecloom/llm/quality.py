@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import kernel
-from vecloom.llm.store import small_batches, tidied
+from vecloom.llm.store import small_batches, tidied, tidy
 
 PASSAGE_WORDS = 64
 FIT_DOCS = 3000
@@ -193,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bags = [np.asarray(x.values, np.float32).reshape(-1, WIDTH) for x in found.column("x")]
     del found
     rng = np.random.default_rng(SEED)
-    return Model(rng).fit(bags, y, rng)
+    model = Model(rng).fit(bags, y, rng)
+    del bags
+    tidy()  # the driver's Python lives on
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
