@@ -109,3 +109,19 @@ def test_integers_survive_packing():
     for x in ([], [0], [5, 5, 900, 1 << 62], list(range(300))):
         x = np.array(x, np.uint64)
         assert katz.unplanes(katz.planes(x)).tolist() == x.tolist() == katz.unrising(katz.rising(x)).tolist()
+
+
+@pytest.mark.parametrize("n_buckets", [7, 70_000])
+def test_n_grams_are_dealt_in_order_without_a_sort_by_three_keys(monkeypatch, n_buckets):
+    ids, texts = zip(*[(i, (t or "").encode()) for i, t in rows_of()])
+    group = katz.Group(store.squeeze(katz.tokens_of(list(ids), list(texts))), n_buckets, len(ids), 20)
+    group.count = np.where(np.arange(len(group.words)) % 5, group.trained, 0)  # as if every fifth word were in no training text
+    group.number = np.where(group.count > 0, (group.bucket << 32) + np.cumsum(group.count > 0), 0)
+    lexsort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: pytest.fail("three passes over all n-grams"))
+    level = group.add_level()
+    assert level.hot.any() and len(level.missed) and len(set(level.bucket.tolist())) > 5
+    assert lexsort((level.w, level.h, level.bucket)).tolist() == list(range(len(level.h)))
+    assert lexsort((level.numbers[level.missed], level.missed_bucket)).tolist() == list(range(len(level.missed)))
+    of_token = np.where(level.gram >= 0, level.w[level.gram], group.token)
+    assert (of_token == group.token).all() and (level.h[level.gram] == level.context)[level.gram >= 0].all()

@@ -118,6 +118,11 @@ def _sorted_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place[code], kinds[order]
 
 
+def by_bucket(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The order by bucket, of equal ones as they are: numbers of 16 bits are sorted by counting."""
+    return np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
+
+
 class Level:
     """The n-grams of one order in a group, in the order in which they are sent.
 
@@ -137,7 +142,8 @@ class Level:
         dealt = self.hot[h]
         bucket[dealt] = (kernel.mix((numbers[h[dealt]] + group.number[w[dealt]] * 31).astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
         bucket %= group.n_buckets
-        order = np.lexsort((w, h, bucket))
+        order = np.argsort(kinds)  # as by h, then w
+        order = order[by_bucket(bucket[order], group.n_buckets)]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.gram = np.full(len(context), -1)
@@ -151,10 +157,9 @@ class Level:
         # Contexts of tokens that can't have been seen after them: their weights are needed whatever the counts are.
         missed = np.unique(self.context[(self.context >= 0) & ~asked])
         missed = missed[~self.hot[missed]]
-        order = np.lexsort((numbers[missed], numbers[missed] >> 32))
-        self.missed = missed[order]
+        self.missed = missed[np.argsort(numbers[missed], kind="stable")]
         self.missed_bucket = (numbers[self.missed] >> 32) % group.n_buckets
-        order = np.argsort(self.missed_bucket, kind="stable")
+        order = by_bucket(self.missed_bucket, group.n_buckets)
         self.missed, self.missed_bucket = self.missed[order], self.missed_bucket[order]
 
     def parts(self):
